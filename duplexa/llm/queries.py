@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
