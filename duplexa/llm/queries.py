@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, substring_dedup
+from . import ngram_join, quality_rules, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_ngram_join": ngram_join.op3_ngram_join,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
