@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, substring_dedup, suffix_dedup
+from . import ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
