@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op7_packing": packing.op7_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
