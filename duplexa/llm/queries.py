@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import embedding_dedup, ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op7_packing": packing.op7_packing,
