@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_packing": packing.op7_packing,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_secret_scan": secret_scan.op9_secret_scan,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan.ORACLE_SQL}
