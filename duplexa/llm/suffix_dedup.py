@@ -39,7 +39,7 @@ HOT = 4_096
 UNIT, PIECE = 1 << 20, 2 << 20
 _MARK = 0xFF  # no byte of UTF-8
 
-RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -283,7 +283,7 @@ class _Asked:
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, the kept bytes and their kept_sha256."""
+    """``docs`` with n_bytes, n_removed, n_spans, the kept bytes, their kept_sha256, and kept_text without characters cut in two."""
     X.ship(docs.sparkSession)
     groups = groups or X.group_count(docs)
     keep = [c for c in docs.columns if c not in RESULT.names]
@@ -337,11 +337,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
             edge[at] += 1
             edge[at + LENGTH] -= 1  # starts of one segment differ
         gone = np.cumsum(edge[:-1]) > 0
-        rows = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        rows = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "kept_text": []}
         for x, y in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
             off, own = gone[x:y], g.buf[x:y]
             kept = own[~off].tobytes()
-            values = y - x, int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept
+            values = y - x, int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")
             for c, v in zip(rows, values, strict=True):
                 rows[c].append(v)
         return pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}[f.dataType]) for f in RESULT})
