@@ -1,0 +1 @@
+"""Bipartite-graph analytics on Spark: projection, support, recommendation and evaluation as DataFrame plans."""
