@@ -402,9 +402,9 @@ _PEARSON = f"""{_RATED}, p AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common,
     q AS (SELECT u1, u2, common, s FROM p WHERE va > 1e-9 AND vb > 1e-9 AND s IS NOT NULL AND NOT isnan(s))"""
 
 
-@query(f"WITH {_PEARSON} SELECT u1, u2, common, round(s, 5) AS similarity FROM q")
+@query(f"WITH {_PEARSON} SELECT u1, u2, common, round(s, 5) + 0.0 AS similarity FROM q")
 def pearson_user_similarity(spark, d):
-    return recommend.pearson(ratings(spark, d), 3).withColumn("similarity", F.round("similarity", 5))
+    return recommend.pearson(ratings(spark, d), 3).withColumn("similarity", F.round("similarity", 5) + F.lit(0.0))
 
 
 @query(f"WITH {_PEARSON}, w AS (SELECT u1 AS x, u2 AS y, s FROM q UNION ALL SELECT u2, u1, s FROM q), near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM w QUALIFY place <= 100), sc AS (SELECT near.x AS u, r.i, round(sum(s * r.x) / sum(s), 6) AS score FROM near JOIN r ON r.u = y WHERE s > 0 GROUP BY ALL), f AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = sc.u AND r.i = sc.i)) SELECT u AS \"user\", round(score, 3) AS score FROM f WHERE rank <= 20")
