@@ -42,7 +42,7 @@ LIST_ROWS = 20_000
 BLOCK_ROWS = 4_096
 #: Ids that a broadcast may hold (16 MB at most); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
