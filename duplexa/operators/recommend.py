@@ -109,7 +109,7 @@ def pearson(ratings: DataFrame, min_common: int = 2) -> DataFrame:
 
 def pearson_based(ratings: DataFrame, n: int = 20, neighbours: int = 100, min_common: int = 2) -> DataFrame:
     """Unseen items by the mean rating of the nearest users, weighted by similarity; only positive weights sum to a score."""
-    near = nearest(both_ways(pearson(ratings, min_common), "u1", "u2"), neighbours).where("similarity > 0")
+    near = nearest(both_ways(pearson(ratings, min_common), "u1", "u2"), neighbours).where("round(similarity, 9) > 0")
     rows = near.join(ratings.select(F.col("user").alias("y"), "item", "rating"), "y")
     scored = rows.groupBy(F.col("x").alias("user"), "item").agg((F.sum(F.col("similarity") * F.col("rating")) / F.sum("similarity")).alias("score"))
     return _top(scored, ratings.select("user", "item").distinct(), n)

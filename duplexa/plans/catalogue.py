@@ -379,9 +379,9 @@ def llr_item_similarity(spark, d):
     return recommend.llr_similarity(raw_edges(spark, d), 2).withColumns({"llr": F.round("llr", 6), "similarity": F.round("similarity", 6)})
 
 
-@query(f"WITH {_SIM}, sc AS (SELECT e.u, y AS i, round(sum(s), 6) AS score FROM e JOIN both_ways ON e.i = x GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = sc.u AND e.i = sc.i)) SELECT u AS \"user\", round(score, 4) AS score FROM r WHERE rank <= 10")
+@query(f"WITH {_SIM}, sc AS (SELECT e.u, y AS i, round(sum(s), 6) AS score FROM e JOIN both_ways ON e.i = x GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = sc.u AND e.i = sc.i)) SELECT u AS \"user\", score FROM r WHERE rank <= 10")
 def llr_item_recommend(spark, d):
-    return recommend.item_based(raw_edges(spark, d), 10, 2).select("user", F.round("score", 4).alias("score"))
+    return recommend.item_based(raw_edges(spark, d), 10, 2).select("user", "score")
 
 
 _USIM = _SIM.replace("e AS (SELECT DISTINCT u, i FROM raw)", "e AS (SELECT DISTINCT i AS u, u AS i FROM raw)")
@@ -393,9 +393,9 @@ def llr_user_neighbourhood(spark, d):
     return recommend.user_neighbours(raw_edges(spark, d), 20, 2).select("x", "place", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {_USIM}, {_NEAR}, sc AS (SELECT x AS u, e.u AS i, round(sum(s), 6) AS score FROM near JOIN e ON e.i = y GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.i = sc.u AND e.u = sc.i)) SELECT u AS \"user\", round(score, 4) AS score FROM r WHERE rank <= 10")
+@query(f"WITH {_USIM}, {_NEAR}, sc AS (SELECT x AS u, e.u AS i, round(sum(s), 6) AS score FROM near JOIN e ON e.i = y GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.i = sc.u AND e.u = sc.i)) SELECT u AS \"user\", score FROM r WHERE rank <= 10")
 def llr_user_recommend(spark, d):
-    return recommend.user_based(raw_edges(spark, d), 10, 20, 2).select("user", F.round("score", 4).alias("score"))
+    return recommend.user_based(raw_edges(spark, d), 10, 20, 2).select("user", "score")
 
 
 _PEARSON = f"""{_RATED}, p AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common, corr(a.x, b.x) AS s, var_pop(a.x) AS va, var_pop(b.x) AS vb FROM r a JOIN r b ON a.i = b.i AND a.u < b.u GROUP BY ALL HAVING count(*) >= 3),
@@ -407,9 +407,9 @@ def pearson_user_similarity(spark, d):
     return recommend.pearson(ratings(spark, d), 3).withColumn("similarity", F.round("similarity", 5) + F.lit(0.0))
 
 
-@query(f"WITH {_PEARSON}, w AS (SELECT u1 AS x, u2 AS y, s FROM q UNION ALL SELECT u2, u1, s FROM q), near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM w QUALIFY place <= 100), sc AS (SELECT near.x AS u, r.i, round(sum(s * r.x) / sum(s), 6) AS score FROM near JOIN r ON r.u = y WHERE s > 0 GROUP BY ALL), f AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = sc.u AND r.i = sc.i)) SELECT u AS \"user\", round(score, 3) AS score FROM f WHERE rank <= 20")
+@query(f"WITH {_PEARSON}, w AS (SELECT u1 AS x, u2 AS y, s FROM q UNION ALL SELECT u2, u1, s FROM q), near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM w QUALIFY place <= 100), sc AS (SELECT near.x AS u, r.i, round(sum(s * r.x) / sum(s), 6) AS score FROM near JOIN r ON r.u = y WHERE round(s, 9) > 0 GROUP BY ALL), f AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = sc.u AND r.i = sc.i)) SELECT u AS \"user\", score FROM f WHERE rank <= 20")
 def pearson_recommend(spark, d):
-    return recommend.pearson_based(ratings(spark, d), 20, 100, 3).select("user", F.round("score", 3).alias("score"))
+    return recommend.pearson_based(ratings(spark, d), 20, 100, 3).select("user", "score")
 
 
 # evaluation

@@ -1,6 +1,7 @@
 """Every query of the catalogue against its SQL in DuckDB."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from duplexa.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-D = "/root/testdata/sf0.001"
+D = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
