@@ -29,6 +29,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._exchange import written
+
 # Short forms of public licence notices, with their SPDX names.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -43,6 +45,7 @@ TEMPLATES = {
 THRESHOLD = 0.75
 #: A licence file has this percentage of its words or more in labelled lines.
 FILE_PERCENT = 25
+SEPARATORS = "[^a-z0-9]+"
 RESULT = ["license", "cosine", "n_lines", "origin", "origin_dir"]
 
 
@@ -77,33 +80,34 @@ def decisive(templates: dict[str, dict[str, float]], threshold: float) -> list[s
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
 
 
 def frequencies(files: DataFrame, text_col: str) -> DataFrame:
     """(word, df) of the templates' words over all files, and the number of files as word ''."""
     known = F.array(*[F.lit(w) for w in VOCABULARY])
-    own = F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), known)
+    own = F.array_intersect(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), known)
     return files.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_percent: int = FILE_PERCENT) -> DataFrame:
-    """``files`` with license, cosine, n_lines (labelled), origin ("own", "inherited" or null) and origin_dir."""
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_percent: int = FILE_PERCENT, keep_text: bool = False) -> DataFrame:
+    """``files`` with license, cosine, n_lines (labelled), origin ("own", "inherited" or null) and origin_dir; the text only if asked for."""
     c = F.col
     df = {r["word"]: r["df"] for r in frequencies(files, text_col).collect()}  # at most one row a word of the templates
     total = df.get("", 0)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
     other = math.log(1 + total) + 1  # of a word outside the vocabulary: as rare as can be
     templates = vectors(idf)
-    pattern = "(?i)(^|[^a-z0-9])(" + "|".join(decisive(templates, threshold)) + ")([^a-z0-9]|$)"
+    needed = F.array(*[F.lit(w) for w in decisive(templates, threshold)])
+
+    def may_match(text: Column) -> Column:
+        return F.arrays_overlap(F.split(F.lower(text), SEPARATORS), needed)
 
     def table(values: dict[str, float]) -> Column:
         return F.create_map(*[x for w, v in sorted(values.items()) for x in (F.lit(w), F.lit(v))])
 
-    keep = [x for x in files.columns if x not in [*RESULT, "__lines"]]
-    base = files.select(*keep)
+    keep = [x for x in files.columns if x not in [*RESULT, "__lines"] and (keep_text or x != text_col)]
     text = F.coalesce(c(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
 
     def dot(weighted: Column, weights: Column) -> Column:
         return F.aggregate(weighted, F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(weights[e["w"]], F.lit(0.0)))
@@ -118,12 +122,16 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
         best = F.array_min(F.array(*scores))
         return F.struct((-best["less"]).alias("cosine"), best["name"].alias("name"), F.size(words).alias("n"))
 
-    labelled = base.withColumn("__lines", F.filter(F.transform(lines, label), lambda x: x["cosine"] >= threshold))
+    # only lines of texts that hold a decisive word are looked at one by one
+    labels = F.filter(F.transform(F.filter(F.split(text, "\n"), may_match), label), lambda x: x["cosine"] >= threshold)
+    none = F.array().cast("array<struct<cosine:double,name:string,n:int>>")
+    labelled = files.select(*dict.fromkeys([*keep, text_col]), F.when(may_match(text), labels).otherwise(none).alias("__lines"))
     best = F.array_min(F.transform("__lines", lambda x: F.struct((-x["cosine"]).alias("less"), x["name"].alias("name"))))
-    n_words = F.size(tokens(text))
+    n_words = F.when(F.size("__lines") > 0, F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")))
     own = labelled.withColumn("__own", best["name"]).withColumn("cosine", -best["less"]).withColumn("n_lines", F.size("__lines").cast("long"))
     covered = F.aggregate("__lines", F.lit(0), lambda s, x: s + x["n"])
-    own = own.withColumn("__file", c("__own").isNotNull() & (100 * covered >= file_percent * n_words)).drop("__lines")
+    own = own.withColumn("__file", c("__own").isNotNull() & (100 * covered >= file_percent * n_words))
+    own = written(own.select(*keep, "__own", "cosine", "n_lines", "__file"), "labelled")  # texts are read once for all that follows
     parts = F.slice(F.split(path_col, "/"), 1, F.greatest(F.size(F.split(path_col, "/")) - 1, F.lit(0)))
     directory = F.array_join(parts, "/")
 
