@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, license_scan, ngram_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, embedding_dedup, license_scan, ngram_join, oracles, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.ORACLE_SQL}
+    return oracles.oracle_sql()
