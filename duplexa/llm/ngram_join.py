@@ -9,9 +9,10 @@ Index lists are used twice. First every list answers for one member, its pivot:
 each other member that sizes and positions allow is verified against it, and
 what links takes over the pivot's answers, so a group of near copies costs one
 verification a member and not one a pair. Then only lists that still span several
-components are visited again, sorted by set size in blocks that sizes and
-positions skip, and pairs are formed only across components. Every pair of sets
-that link is therefore either verified or known to be connected.
+components are visited again, by their pivot, sorted by set size in blocks that sizes
+and positions skip. Pairs are formed only across components, and compared only until
+an answer found before has joined them. Every pair of sets that link is either
+verified or known to be connected.
 
 * Null texts count as empty. A set without words links with nothing and is its
   own component. A text of one to four words has one shingle, the whole sequence.
@@ -166,11 +167,18 @@ def _lists(table: pa.Table) -> pa.Table:
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
     run = np.cumsum(new) - 1
-    head = np.flatnonzero(new)[run] if len(run) else run
     size = np.bincount(run)[run] if len(run) else run
     many = (size > 1) | (salt > 0)  # a part of a dealt list may hold one row and meet the others later
+    token, key, n, at, salt, run = (x[many] for x in (token, key, n, at, salt, run))
+    # the pivot is the set with the largest share of shingles in lists: the middle of a group of copies, not its edge
+    _, which, shared = np.unique(key, return_inverse=True, return_counts=True)
+    order = np.lexsort((key, -shared[which] / n, run))
+    token, key, n, at, salt, run = (x[order] for x in (token, key, n, at, salt, run))
+    new = np.ones(len(run), bool)
+    new[1:] = run[1:] != run[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
     columns = {"token": token.view(np.int64), "key": key, "n": n.astype(np.int64), "at": at.astype(np.int64), "salt": salt.astype(np.int32), "pivot": key[head], "pivot_n": n[head].astype(np.int64), "pivot_at": at[head].astype(np.int64)}
-    return pa.table({c: pa.array(x[many]) for c, x in columns.items()})
+    return pa.table({c: pa.array(x) for c, x in columns.items()})
 
 
 LISTS = "token long, key long, n long, at long, salt int, pivot long, pivot_n long, pivot_at long"
@@ -183,10 +191,9 @@ def _possible(n, at, m, at2):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * F.least(n - at, m - at2) >= PERCENT * (n + m))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of classes that link, by exact intersection of their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = X.written(ids.join(wanted, "key").select(F.col("id").alias("__id"), "key"), "wanted")  # one text of each class
+def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, tokens) of some classes, from one text of each."""
+    texts = X.written(ids.join(wanted, "key").select(F.col("id").alias("__id"), "key"), "wanted")
     if texts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         texts = F.broadcast(texts)
     mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(texts, "__id")
@@ -198,48 +205,117 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, te
             own = np.flatnonzero(set_keys(tokens, first) == key)  # rows with equal ids may hold other texts
             yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], names=["key", "tokens"])
 
-    sets = mine.mapInArrow(run, "key long, tokens binary")
-    sets = X.written(sets.groupBy("key").agg(F.min("tokens").alias("tokens")), "sets")
+    return X.written(mine.mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.min("tokens").alias("tokens")), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes that link, by exact intersection of their sets."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
 
     def verify(batches):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                if _linked(np.frombuffer(x.as_buffer(), np.uint64), [np.frombuffer(y.as_buffer(), np.uint64)])[0]:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
     return X.written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
-def _across():
-    """Pairs within (token, block pair) groups that sizes and positions allow and components do not join."""
-
-    def run(table: pa.Table) -> pa.Table:
-        c = {x: np.asarray(table.column(x)) for x in ("token", "part", "key", "n", "at", "root")}
-        order = np.lexsort((c["n"], c["part"], c["token"]))
-        c = {k: v[order] for k, v in c.items()}
-        new = np.ones(len(order), bool)
-        new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])
-        run = np.cumsum(new) - 1
-        # within a list, the last row whose size a row's own still allows: what lies behind is skipped as a block
-        span = int(c["n"].max()) * 2 + 2 if len(order) else 1
-        last = np.searchsorted(run * span + c["n"], run * span + c["n"] * 100 // PERCENT, "right") - 1
-        left, right, step, live = [], [], 1, np.arange(len(order))
-        while len(live := live[live + step <= last[live]]):
+def _linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which sets (sorted, not empty) link with one."""
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+    return 100 * common >= PERCENT * (len(one) + size - common)
+
+
+def _cross_pairs(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Pairs of keys within lists that sizes and positions allow and components do not join, those of most lists first."""
+    order = np.lexsort((c["n"], c["token"]))
+    token, key, n, at, root = (c[x][order] for x in ("token", "key", "n", "at", "root"))
+    new = np.ones(len(order), bool)
+    new[1:] = token[1:] != token[:-1]
+    run = np.cumsum(new) - 1
+    # within a list, the last row whose size a row's own still allows: what lies behind is skipped as a block
+    span = int(n.max()) * 2 + 2
+    last = np.searchsorted(run * span + n, run * span + n * 100 // PERCENT, "right") - 1
+    names, local = np.unique(key, return_inverse=True)
+    codes, times, held, step, live = np.empty(0, np.int64), np.empty(0, np.int64), [], 1, np.arange(len(order))
+    while True:
+        live = live[live + step <= last[live]]
+        if len(live):
             other = live + step
-            ok = (c["root"][live] != c["root"][other]) & _possible(c["n"][live], c["at"][live], c["n"][other], c["at"][other])
-            left.append(c["key"][live[ok]])
-            right.append(c["key"][other[ok]])
+            ok = (root[live] != root[other]) & _possible(n[live], at[live], n[other], at[other])
+            a, b = local[live[ok]], local[other[ok]]
+            held.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
             step += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return run
+        if held and (not len(live) or sum(map(len, held)) > 1 << 21):  # equal pairs of many lists are kept once
+            codes, at_ = np.unique(np.concatenate([codes, *held]), return_inverse=True)
+            times = np.bincount(at_, weights=np.concatenate([times, np.ones(sum(map(len, held)))])).astype(np.int64)
+            held = []
+        if not len(live):
+            break
+    codes = codes[np.argsort(-times, kind="stable")]
+    return np.stack([names[codes // len(names)], names[codes % len(names)]], 1)
+
+
+def _parts(table: pa.Table):
+    """The (home, part) groups of a bucket: row numbers."""
+    home, part = np.asarray(table.column("home")), np.asarray(table.column("part"))
+    order = np.lexsort((part, home))
+    new = np.ones(len(order), bool)
+    new[1:] = (home[order][1:] != home[order][:-1]) | (part[order][1:] != part[order][:-1])
+    start = np.flatnonzero(new)
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
+        yield order[a:b]
+
+
+def _needed(table: pa.Table) -> pa.Table:
+    """(home, part, key) of the sets that are in any pair to be compared."""
+    c = {x: np.asarray(table.column(x)) for x in ("home", "part", "token", "key", "n", "at", "root")}
+    out = [[], [], []]
+    for rows in _parts(table):
+        keys = np.unique(_cross_pairs({k: v[rows] for k, v in c.items()}))
+        for o, v in zip(out, (np.full(len(keys), c["home"][rows[0]]), np.full(len(keys), c["part"][rows[0]]), keys), strict=True):
+            o.append(v)
+    home, part, key = (np.concatenate([np.empty(0, np.int64), *o]).astype(np.int64) for o in out)
+    return pa.table({"home": home, "part": part.astype(np.int32), "key": key})
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Links of a bucket's groups, a pair being compared only while nothing found there has joined its components."""
+    c = {x: np.asarray(table.column(x).fill_null(0)) for x in ("token", "key", "n", "at", "root")}
+    is_set, tokens = np.asarray(table.column("tokens").is_valid()), table.column("tokens")
+    found = []
+    for rows in _parts(table):
+        sets = {int(c["key"][r]): np.frombuffer(tokens[r].as_buffer(), np.uint64) for r in rows[is_set[rows]].tolist()}
+        mine = rows[~is_set[rows]]
+        if not len(mine):
+            continue
+        pairs = _cross_pairs({k: v[mine] for k, v in c.items()})
+        keys, first = np.unique(c["key"][mine], return_index=True)
+        roots, label, members = np.unique(c["root"][mine][first], return_inverse=True, return_counts=True)
+        a, b = np.searchsorted(keys, pairs[:, 0]), np.searchsorted(keys, pairs[:, 1])
+        swap = members[label[a]] > members[label[b]]  # the owner is of the smaller component
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(a)], strict=True):
+            own, left, width = a[s], b[s:e], 8
+            while len(left := left[label[left] != label[own]]):
+                some, left = left[:width], left[width:]
+                width = min(width * 2, 512)
+                yes = some[_linked(sets[int(keys[own])], [sets[int(keys[x])] for x in some])]
+                for x in yes.tolist():
+                    if label[x] != label[own]:
+                        label[label == label[x]] = label[own]
+                        found.append((int(keys[own]), int(keys[x])))
+    one, two = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, list_rows: int = LIST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -262,20 +338,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     dealt = lists.where(c("key") == c("pivot")).join(heads, "token").where((c("key") != c("p.pivot")) & _possible(c("n"), c("at"), c("p.pivot_n"), c("p.pivot_at"))).select("key", c("p.pivot").alias("pivot"))
     pairs = star.unionByName(dealt).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     pairs = X.written(pairs, "pairs")
-    links = _verified(pairs, docs, classes, id_col, text_col)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes, id_col, text_col)
+    links = _verified(pairs, sets)
     roots = components(links)
 
-    # lists that span several components, block by block
-    rooted = lists.select("token", "key", "n", "at").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
-    mixed = mixed.select("token", F.ceil(c("size") / block_rows).cast("int").alias("blocks"))
-    rooted = rooted.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("key"), c("blocks")).cast("int"))
+    # lists that span several components meet by their pivot, in blocks; only sets in a possible pair are sent
+    home = lists.select("token", "pivot", "key", "n", "at").join(heads.select("token", c("p.pivot").alias("home")), "token", "left").withColumn("home", F.coalesce("home", "pivot"))
+    rooted = home.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    rooted = X.written(rooted.join(mixed, "token", "left_semi").select("home", "token", "key", "n", "at", "root"), "mixed")
+    blocks = rooted.select("home", "key").distinct().groupBy("home").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = rooted.join(blocks, "home").withColumn("own", F.pmod(F.xxhash64("key"), c("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), c("blocks") - 1), lambda o: F.least(o, c("own")) * c("blocks") + F.greatest(o, c("own")))
-    blocks = rooted.withColumn("part", F.explode(cells)).withColumn(X.BUCKET, F.pmod(F.xxhash64("token", "part"), F.lit(buckets)).cast("int"))
-    more = blocks.select(X.BUCKET, "token", "part", "key", "n", "at", "root").groupBy(X.BUCKET).applyInArrow(_across(), "a long, b long")
-    more = X.written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, docs, classes, id_col, text_col))
-    roots = components(links)
+    to = F.pmod(F.xxhash64("home", "part"), F.lit(buckets)).cast("int").alias(X.BUCKET)
+    placed = placed.withColumn("part", F.explode(cells)).select(to, "home", "part", "token", "key", "n", "at", "root")
+    needed = X.written(placed.groupBy(X.BUCKET).applyInArrow(_needed, "home long, part int, key long"), "needed")
+    sets = _sets(needed.select("key").distinct(), docs, classes, id_col, text_col)
+    sent = needed.join(sets, "key").select(to, "home", "part", F.lit(None).cast("long").alias("token"), "key", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("root"), "tokens")
+    placed = placed.join(needed, ["home", "part", "key"], "left_semi").withColumn("tokens", F.lit(None).cast("binary")).select(*sent.columns)
+    more = placed.unionByName(sent).groupBy(X.BUCKET).applyInArrow(_across, "a long, b long")
+    roots = components(links.unionByName(X.written(more, "links")))
 
     named = roots.join(classes.withColumnRenamed("key", "node"), "node")
     named = named.join(named.groupBy("root").agg(F.min("id").alias("low")), "root").select(c("node").alias("key"), "low")
