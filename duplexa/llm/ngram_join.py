@@ -191,11 +191,14 @@ def _possible(n, at, m, at2):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * F.least(n - at, m - at2) >= PERCENT * (n + m))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of ids, to be broadcast if they are few enough; a shuffle join serves otherwise."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, tokens) of some classes, from one text of each."""
-    texts = X.written(ids.join(wanted, "key").select(F.col("id").alias("__id"), "key"), "wanted")
-    if texts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        texts = F.broadcast(texts)
+    texts = _small(X.written(ids.join(wanted, "key").select(F.col("id").alias("__id"), "key"), "wanted"))
     mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(texts, "__id")
 
     def run(batches):
@@ -343,9 +346,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     roots = components(links)
 
     # lists that span several components meet by their pivot, in blocks; only sets in a possible pair are sent
-    home = lists.select("token", "pivot", "key", "n", "at").join(heads.select("token", c("p.pivot").alias("home")), "token", "left").withColumn("home", F.coalesce("home", "pivot"))
-    rooted = home.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    home = lists.select("token", "key", "n", "at", c("pivot").alias("home"))
+    if heads.limit(1).count():  # parts of a dealt list meet by the least of their pivots
+        home = home.join(heads.select("token", c("p.pivot").alias("first")), "token", "left").withColumn("home", F.coalesce("first", "home")).drop("first")
+    rooted = home.join(_small(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    mixed = _small(X.written(mixed, "tokens"))
     rooted = X.written(rooted.join(mixed, "token", "left_semi").select("home", "token", "key", "n", "at", "root"), "mixed")
     blocks = rooted.select("home", "key").distinct().groupBy("home").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     placed = rooted.join(blocks, "home").withColumn("own", F.pmod(F.xxhash64("key"), c("blocks")).cast("int"))
