@@ -34,7 +34,7 @@ from . import _text
 
 LONG = 128
 #: Words (and pieces) of each of the two generations of a worker's cache.
-CACHE = 150_000
+CACHE = 300_000
 
 RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids", T.BinaryType())])
 
