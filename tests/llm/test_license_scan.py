@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 
 import duckdb
 from pyspark.sql import types as T
@@ -44,3 +45,23 @@ def test_query_equals_sql(spark):
         got = sorted((tuple(r) for r in L.op6_license_scan(spark, d).collect()), key=str)
         assert got == want
         assert len({x[1] for x in got}) > 3
+
+
+def test_files_and_blocks(spark):
+    """Licence files, wrapped headers, titles and tags, none of which is a line of TEMPLATES."""
+    texts = {p.stem: p.read_text() for p in (L.Path(L.__file__).parent / "license_texts").glob("*.txt")}
+    notices = {n: t for n, t in reversed(L.NOTICES) if len(t) > 400}
+    code = "\n".join(f"value{i} = compute(alpha{i}, beta{i})" for i in range(300))
+    wrap = lambda t: "\n".join("# " + x for x in textwrap.wrap(" ".join(t.split()), 60))
+    rows = [(f"full/{n}/LICENSE", f"Copyright (c) 2020 Foo Bar\n\n{t}", n) for n, t in texts.items()]
+    rows += [(f"top/{n}/x.py", f"{wrap(t)}\n{code}", n) for n, t in notices.items()] + [(f"middle/{n}/x.py", f"{code}\n{wrap(t)}\n{code}", n) for n, t in notices.items()]
+    rows += [(f"inline/{n}/x.py", f"{code}\n{texts[n]}\n{code}", n) for n in ("MIT", "ISC", "BSD-2-Clause")]
+    rows += [(f"tag/{n}/x.py", f"# SPDX-License-Identifier: {n}\n{code}", n) for n in ("MIT", "Apache-2.0", "GPL-3.0")]
+    rows += [("title/1", f"The MIT License (MIT)\n{code}", "MIT"), ("wrapped/1", f"Released under\nthe MIT License\n{code}", "MIT"), ("foreign/1", f"# SPDX-License-Identifier: Zlib\n{code}", None), ("code/1", code, None)]
+    rows += [("bsd/LICENSE", f"Copyright (c) 2020 Foo Bar\nAll rights reserved.\n\n{texts['BSD-3-Clause']}", "BSD-3-Clause"), ("bsd/x.py", code, "BSD-3-Clause"), (None, texts["MIT"], "MIT")] + [("twice/LICENSE", texts["MIT"], "MIT")] * 2
+    filler = [(f"prose/{i}", " ".join(f"w{i}x{j}" for j in range(30)), None) for i in range(200)]
+    got = L.scan(spark.createDataFrame([(p, t, "x") for p, t, _ in rows + filler], SCHEMA)).collect()
+    want = sorted((str(p), str(n)) for p, _, n in rows + filler)
+    assert sorted({(str(r["path"]), str(r["license"])) for r in got} ^ set(want)) == [] and len(got) == len(want)
+    by = {r["path"]: r for r in got}
+    assert by["bsd/x.py"]["origin"] == "inherited" and by["wrapped/1"]["n_lines"] == 2 and by["title/1"]["n_lines"] == 1
