@@ -5,8 +5,9 @@ every one but the last returns the columns of documents. Stages read what the on
 before wrote, so a lost executor repeats part of one stage.
 
 * Null texts pass as empty ones until a stage rejects or changes them (the quality
-  rules reject texts of fewer than ten words). Rows with null ids join no group.
-  Empty tables give empty tables.
+  rules reject texts of fewer than ten words). Rows with null or equal ids are
+  documents like others: of each group of similar rows one row stays. Empty tables
+  give empty tables.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones, that with the smallest id."""
-    groups = ngram_join.join(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of similar ones, that with the smallest id (null ids last); repeated rows are one group.
+
+    Rows are told apart by a hash of all their columns, so equal ids with different texts are different documents.
+    """
+    row = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))])
+    docs = docs.select(*COLUMNS, row.alias("__row")).dropDuplicates(["__row"])
+    groups = ngram_join.join(docs, id_col="__row").select("__row", "component_id")
+    named = docs.select("__row", "doc_id").join(groups, "__row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
+    return docs.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

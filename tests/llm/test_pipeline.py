@@ -47,3 +47,16 @@ def test_run_and_empty(spark):
         docs = stage(spark, docs, d)
         assert docs.columns == C.COLUMNS and docs.count() == 0
     assert C.pack(spark, docs, d).count() == 0
+
+
+def test_repeated_rows(spark):
+    """One row of each group stays with its text, whatever the ids."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(120))
+    once = {k: text(k) for k in "abcdef"}
+    rows = [(1, once["a"]), (1, once["a"]), (2, once["b"]), (3, once["b"]), (3, once["c"]), (None, once["d"]), (None, once["d"]), (None, once["e"]), (5, once["e"]), (6, once["f"]), (6, once["f"] + " more"), (None, once["f"])]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    alone = C.near_duplicates(spark, docs, "")
+    got = sorted(((r["doc_id"], r["text"].split("w")[0]) for r in alone.collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (5, "e"), (6, "f")], key=str)
+    after = C.secrets(spark, C.repeats(spark, alone, ""), "").collect()
+    assert len(after) == 6 and all(r["text"].strip() for r in after)
