@@ -1,11 +1,11 @@
-"""Document groups and packed messages between them.
-
-The window operators all work the same way. Documents are dealt into groups by
-a hash of their id; each group asks questions about hashes ("does this occur
-elsewhere?") and gets the answers back. A question is one row per pair of
-(group, hash bucket) whose payload is a numpy array, so a key that a third of
-all documents hold costs one entry per group, never one row per document, and
-an answer is a bitmap over the entries that were asked.
+"""What the corpus operators share: document groups, written tables, session settings.
+
+The window operators all work the same way. Documents are dealt into groups of
+bounded size; each group asks about hashes ("does this occur elsewhere?") with one
+row for each distinct hash it holds, so a hash that a third of all documents have costs
+one row a group, never one row a document. Rows are counted by hash with ordinary
+aggregates, and only hashes that do occur elsewhere go back to the groups that asked.
+The number of rows is in proportion to the input at any size.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP, BUCKET = "__group", "__bucket"
+GROUP = "__group"
 #: Bytes of stored input in one document group; with Parquet about twice as many bytes of text.
 GROUP_BYTES = 2_500_000
-MOST_GROUPS = 1 << 16
+#: Bytes of an Arrow batch, in the JVM and in a Python worker, and of a Parquet row group in a written table.
+BATCH_BYTES, ROW_GROUP_BYTES = 4 << 20, 16 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def group_count(df: DataFrame, per_group: int = GROUP_BYTES) -> int:
@@ -33,78 +34,65 @@ def group_count(df: DataFrame, per_group: int = GROUP_BYTES) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(MOST_GROUPS, math.ceil(size / per_group)))
+    return max(1, math.ceil(size / per_group))
 
 
-def in_groups(df: DataFrame, key: str, groups: int) -> DataFrame:
-    """``df`` with its group number; rows with equal keys (nulls too) share a group."""
-    return df.withColumn(GROUP, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(groups)).cast("int"))
+def in_groups(df: DataFrame, groups: int) -> DataFrame:
+    """``df`` with its group number, by row: neither equal ids nor equal texts share a group for that.
 
+    Every read of ``df`` must give the same rows in the same partitions, as that of a stored table does.
+    """
+    return df.withColumn(GROUP, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
-
-def send(group: int, buckets: int, keys: np.ndarray, **columns: np.ndarray) -> pa.Table:
-    """One row per bucket that has keys. Keys must be in a reproducible order; it is kept within each bucket."""
-    to = bucket_of(keys, buckets)
-    order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(edge))
-    data = {BUCKET: pa.array(full.astype(np.int32)), GROUP: pa.array(np.full(len(full), group, np.int32))}
-    for name, values in {"keys": keys, **columns}.items():
-        values = values[order]
-        data[name] = pa.array([values[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
-    return pa.table(data)
-
-
-def answers(table: pa.Table, buckets: int, keys: np.ndarray, column: str = "yes") -> np.ndarray:
-    """The bits that came back for ``keys``, which must be those that were sent."""
-    to = bucket_of(keys, buckets)
-    order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange(buckets + 1))
-    out = np.zeros(len(keys), bool)
-    for b, bits in zip(table.column(BUCKET).to_pylist(), table.column(column).to_pylist(), strict=True):
-        n = edge[b + 1] - edge[b]
-        out[order[edge[b] : edge[b + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return out
-
-
-def received(table: pa.Table, column: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a payload column and the row each came from."""
-    parts = [np.frombuffer(x, dtype) for x in table.column(column).to_pylist()]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-
-
-def reply(table: pa.Table, yes: np.ndarray, row: np.ndarray) -> pa.Table:
-    """Bitmaps to the groups that asked, in the order in which they sent."""
-    edge = np.searchsorted(row, np.arange(table.num_rows + 1))
-    bits = [np.packbits(yes[edge[i] : edge[i + 1]]).tobytes() for i in range(table.num_rows)]
-    return pa.table({GROUP: table.column(GROUP), BUCKET: table.column(BUCKET), "yes": pa.array(bits, pa.binary())})
-
-
-REPLY = f"{GROUP} int, {BUCKET} int, yes binary"
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some others."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    some = np.sort(some)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one of our own only where none is set (tests, one machine)."""
+    """The cluster's checkpoint folder; a temporary one of our own where none is set and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if named is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="duplexa-"))
         current = spark.sparkContext.getCheckpointDir()
     return named or current
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: its lineage ends there, and its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._duplexa_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._duplexa_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, whose Python path may lack it."""
+    """Sends this package to the executors, whose Python path may lack it, and bounds Arrow batches left at Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_duplexa_shipped", False):
         return

@@ -35,15 +35,20 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_WORD_BASE))
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand and shared by a worker's batches."""
+    """Powers of an odd base modulo 2**64 and of its inverse, shared by a worker's batches up to KEPT of them."""
+
+    KEPT = 1 << 20
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            return self._run(self.base, n), self._run(self.inverse, n)
         if n > len(self.up):
-            self.up, self.down = self._run(self.base, n), self._run(self.inverse, n)
+            size = min(self.KEPT, 1 << (n - 1).bit_length())
+            self.up, self.down = self._run(self.base, size), self._run(self.inverse, size)
         return self.up[:n], self.down[:n]
 
     @staticmethod
@@ -132,7 +137,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice holds about ``most`` bytes of text, or one longer document."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))

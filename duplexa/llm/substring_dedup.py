@@ -14,7 +14,8 @@ counts by the smallest document that has it.
   none of them removes words from another.
 * Texts under 50 words lose nothing. Ties cannot occur: only a strictly smaller
   id removes. Empty tables give empty results.
-* Input columns are kept unless a result column has their name.
+* The input must be a stored table (see ``in_groups``). Its columns are kept unless a result
+  column has their name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _exchange as X
@@ -98,77 +100,64 @@ class _Group:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """A bucket's anchors: yes for those that two documents have."""
-    keys, row = X.received(table, "keys", np.uint64)
-    many, _ = X.received(table, "many", bool)
-    _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-    np.add.at(count, which, many)
-    return X.reply(table, count[which] > 1, row)
-
-
-def _smaller_elsewhere(table: pa.Table) -> pa.Table:
-    """A bucket's windows: yes to a group if a document of another has the window and a smaller id than all of the group's."""
-    keys, row = X.received(table, "keys", np.uint64)
-    check, _ = X.received(table, "check", np.uint32)
-    low, _ = X.received(table, "low", np.int64)
-    order = np.lexsort((check, keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1])
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
-    least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, low)
-    return X.reply(table, least[which] < low, row)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None) -> DataFrame:
-    """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and its kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept_text",)) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_sha256; ``give`` adds kept_text (kept words joined by one space)."""
     X.ship(docs.sparkSession)
     groups = groups or X.group_count(docs)
+    result = [f for f in RESULT.fields if f.name != "kept_text" or f.name in give]
     keep = [c for c in docs.columns if c not in RESULT.names]
-    text = docs.select(*{id_col, text_col}) if not keep else docs.select(*dict.fromkeys([*keep, id_col, text_col]))
-    text = X.in_groups(text, id_col, groups)
+    text = X.in_groups(docs.select(*dict.fromkeys([*keep, id_col, text_col])), groups)
 
     def ask(key, table):
         g = _Group(table, id_col, text_col)
-        return X.send(key[0].as_py(), groups, g.anchors, many=g.anchors_in_two_documents())
+        return pa.table({"anchor": _long(g.anchors), X.GROUP: pa.array(np.full(len(g.anchors), key[0].as_py(), np.int32)), "many": pa.array(g.anchors_in_two_documents())})
 
     def extend(key, table, back):
         g = _Group(table, id_col, text_col)
-        g.candidates(X.answers(back, groups, g.anchors))
-        return X.send(key[0].as_py(), groups, g.windows["key"], check=g.windows["check"], low=g.low)
+        g.candidates(X.among(g.anchors, _keys(back, "anchor")))
+        return pa.table({"key": _long(g.windows["key"]), "check": pa.array(g.windows["check"].astype(np.int64)), X.GROUP: pa.array(np.full(len(g.low), key[0].as_py(), np.int32)), "low": pa.array(g.low)})
 
-    def finish(key, table, back, removed):
+    def finish(key, table, back):
         g = _Group(table, id_col, text_col)
-        g.candidates(X.answers(back, groups, g.anchors))
-        gone = g.covered(X.answers(removed, groups, g.windows["key"]))
+        window = np.asarray(back.column("check").is_valid())
+        anchors, removed = back.filter(pa.array(~window)), back.filter(pa.array(window))
+        g.candidates(X.among(g.anchors, _keys(anchors, "key")))
+        told = np.empty(removed.num_rows, g.windows.dtype)
+        told["key"], told["check"] = _keys(removed, "key"), _keys(removed, "check")
+        smaller = np.zeros(len(g.windows), bool)
+        smaller[np.searchsorted(g.windows, told)] = True
+        gone = g.covered(smaller)
         raw, lost, kept = g.words.buf.tobytes(), np.zeros(len(g.ids), np.int64), []
         for i, (a, b) in enumerate(zip(g.words.first[:-1], g.words.first[1:], strict=True)):
             stay = np.flatnonzero(~gone[a:b]) + a
             lost[i] = (b - a) - len(stay)
             kept.append(b" ".join([raw[s:e] for s, e in zip(g.words.start[stay].tolist(), g.words.end[stay].tolist(), strict=True)]))
         out = {c: table.column(c) for c in keep}
-        out |= {"n_words": pa.array(g.count.astype(np.int64)), "n_removed": pa.array(lost), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept_text": pa.array([x.decode() for x in kept], pa.string())}
+        out |= {"n_words": pa.array(g.count.astype(np.int64)), "n_removed": pa.array(lost), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
+        if "kept_text" in give:
+            out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
         return pa.table(out)
 
-    sent = f"{X.BUCKET} int, {X.GROUP} int, keys binary"
-    asked = text.groupBy(X.GROUP).applyInArrow(ask, f"{sent}, many binary")
-    shared = asked.groupBy(X.BUCKET).applyInArrow(_shared_anchors, X.REPLY)
-    windows = text.groupBy(X.GROUP).cogroup(shared.groupBy(X.GROUP)).applyInArrow(extend, f"{sent}, check binary, low binary")
-    removed = windows.groupBy(X.BUCKET).applyInArrow(_smaller_elsewhere, X.REPLY)
+    by_group, none = text.groupBy(X.GROUP), F.lit(None).cast("long")
+    asked = by_group.applyInArrow(ask, f"anchor long, {X.GROUP} int, many boolean")
+    of = Window.partitionBy("anchor")
+    shared = asked.withColumn("shared", (F.count("*").over(of) > 1) | F.max("many").over(of)).where("shared").select(X.GROUP, "anchor")
+    windows = by_group.cogroup(shared.groupBy(X.GROUP)).applyInArrow(extend, f"key long, check long, {X.GROUP} int, low long")
+    least = F.min("low").over(Window.partitionBy("key", "check"))
+    removed = windows.withColumn("least", least).where("least < low").select(X.GROUP, "key", "check")
+    answers = shared.select(X.GROUP, F.col("anchor").alias("key"), none.alias("check")).unionByName(removed)
+    schema = T.StructType([f for f in text.schema.fields if f.name in keep] + result)
+    return by_group.cogroup(answers.groupBy(X.GROUP)).applyInArrow(finish, schema)
 
-    def last(key, table, both):
-        kind = np.asarray(both.column("__kind"))
-        return finish(key, table, both.filter(pa.array(kind == 0)), both.filter(pa.array(kind == 1)))
 
-    from pyspark.sql import functions as F
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
-    both = shared.withColumn("__kind", F.lit(0)).unionByName(removed.withColumn("__kind", F.lit(1)))
-    schema = T.StructType([f for f in text.schema.fields if f.name in keep] + RESULT.fields)
-    return text.groupBy(X.GROUP).cogroup(both.groupBy(X.GROUP)).applyInArrow(last, schema)
+
+def _keys(table: pa.Table, column: str) -> np.ndarray:
+    return np.asarray(table.column(column)).astype(np.int64).view(np.uint64)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=()).drop("text")

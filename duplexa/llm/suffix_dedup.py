@@ -7,17 +7,19 @@ walk stops at the minimum length, and what no edge separates by then repeats.
 
 A corpus is cut for it by content. A window of 400 bytes is assigned to the
 200-byte gram in it with the least hash, so equal windows get equal grams,
-wherever they are; neighbouring windows with one gram form a segment. Segments
-of one gram meet in one bucket: equal ones are counted (all their windows
-repeat), and one of each different kind goes through the transform. A gram with
-more than ``HOT`` kinds of segments is split to single windows, which are counted.
+wherever they are; neighbouring windows with one gram form a segment. Equal
+segments are one kind: all windows of a kind that occurs twice repeat. Where a gram has
+several kinds, one segment of each goes through the transform of the gram's bucket. A gram with
+more than ``HOT`` kinds is split to single windows, which are counted: no transform holds
+an unbounded group.
 
 * Null texts count as empty; texts under 400 bytes lose nothing. Ids play no
-  part in matching: rows with null or equal ids, and repeated rows, are
+  part: rows with null or equal ids, and repeated rows, are
   separate documents, and a repeated row repeats everything.
 * Strings overlap freely and are judged on the input. Empty tables give empty
-  results. A text is handled in pieces of 2 MB, so length is no limit.
-* Input columns are kept unless a result column has their name.
+  results. A text is handled in pieces of half a MB, so length is no limit.
+* The input must be a stored table (see ``in_groups``). Its columns are kept unless a result
+  column has their name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _exchange as X
@@ -36,7 +39,7 @@ LENGTH, GRAM = 400, 200
 #: Kinds of segments of one gram that go through one transform (about 2 MB).
 HOT = 4_096
 #: Bytes of text in one transform, and in one piece of a group.
-UNIT, PIECE = 1 << 20, 2 << 20
+UNIT, PIECE = 1 << 20, 1 << 19
 _MARK = 0xFF  # no byte of UTF-8
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
@@ -120,6 +123,10 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values."""
     size = 1
@@ -182,6 +189,13 @@ class _Group:
         key = _text.mix(_text.mix((total[stop] - total[start]) * down[start]) + (anchor - start).astype(np.uint64))
         return gram[anchor], key, start + a, stop + a
 
+    def kinds_of(self, table: pa.Table) -> np.ndarray:
+        """Numbers of the kinds that a table names by gram and segment."""
+        pairs, asked = (np.empty(n, [("gram", np.uint64), ("key", np.uint64)]) for n in (len(self.kind_gram), table.num_rows))
+        pairs["gram"], pairs["key"] = self.kind_gram, self.kind_key  # in order
+        asked["gram"], asked["key"] = (np.asarray(table.column(c)).astype(np.int64).view(np.uint64) for c in ("gram", "segment"))
+        return np.searchsorted(pairs, asked)
+
     def windows(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of some kinds of segments, and how many each has."""
         count = self.kind_stop[kinds] - self.kind_start[kinds] - LENGTH + 1
@@ -189,142 +203,95 @@ class _Group:
         return np.concatenate([np.empty(0, np.uint64), *parts]), count
 
 
-def _kinds(table: pa.Table) -> pa.Table:
-    """A bucket's kinds of segments. all: it occurs twice. ship: its gram has others, and this group is to send it. hot: they are many."""
-    gram, row = X.received(table, "keys", np.uint64)
-    key, _ = X.received(table, "segment", np.uint64)
-    many, _ = X.received(table, "many", bool)
-    order = np.lexsort((np.arange(len(gram)), key, gram))
-    g, k = gram[order], key[order]
-    first_gram, first = np.ones(len(g), bool), np.ones(len(g), bool)
-    first_gram[1:] = g[1:] != g[:-1]
-    first[1:] = first_gram[1:] | (k[1:] != k[:-1])
-    kind, of = np.cumsum(first) - 1, np.cumsum(first_gram) - 1
-    times = np.bincount(kind, weights=1 + many[order])
-    kinds = np.bincount(of, weights=first)[of] if len(of) else of
-    twice, ship, hot = (np.empty(len(g), bool) for _ in range(3))
-    twice[order], ship[order], hot[order] = times[kind] > 1, first & (kinds > 1), kinds > HOT
-    out = {X.GROUP: table.column(X.GROUP), X.BUCKET: table.column(X.BUCKET), "__kind": pa.array(np.zeros(table.num_rows, np.int32))}
-    for name, bits in (("yes", twice), ("ship", ship), ("hot", hot)):
-        out[name] = X.reply(table, bits, row).column("yes")
-    return pa.table(out)
-
-
-ANSWER = f"{X.GROUP} int, {X.BUCKET} int, __kind int, yes binary, ship binary, hot binary"
-
-
-def _transform(table: pa.Table) -> list[bytes]:
-    """Bits of the windows of every segment sent, through transforms of about UNIT bytes of segments by gram."""
-    gram, row = X.received(table, "keys", np.uint64)
-    size, _ = X.received(table, "size", np.uint32)
-    texts = [np.frombuffer(x, np.uint8) for x in table.column("bytes").to_pylist()]
-    upto = np.cumsum(size.astype(np.int64))
-    begin = upto - size  # in all texts of the table together, which hold the segments in this order
-    text = np.concatenate([np.empty(0, np.uint8), *texts])
-    count = size.astype(np.int64) - LENGTH + 1
-    bits, ends = np.zeros(int(count.sum()), bool), np.cumsum(count)
+TWICE, SEND, SPLIT, BITS, WINDOW = range(5)
+
+
+def _transform(gram: np.ndarray, texts: list[np.ndarray]) -> list[bytes]:
+    """Bits of the windows of segments, through transforms of about UNIT bytes of segments by gram."""
+    if not texts:
+        return []
     order = np.argsort(gram, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = gram[order][1:] != gram[order][:-1]
     heads = np.flatnonzero(new)
+    mark, bits = np.array([_MARK], np.uint8), [b""] * len(texts)
     held, total = [], 0
     for h, stop in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
         held += order[h:stop].tolist()
-        total += int(size[order[h:stop]].sum())
+        total += sum(len(texts[i]) for i in order[h:stop].tolist())
         if total < UNIT and stop < len(order):
             continue
-        mark, parts, at = np.array([_MARK], np.uint8), [], []
+        again = repeated_starts(np.concatenate([x for i in held for x in (texts[i], mark)]))
         where = 0
-        for s in held:
-            at.append(where)
-            parts += [text[begin[s] : upto[s]], mark]
-            where += int(size[s]) + 1
-        again = repeated_starts(np.concatenate(parts))
-        for s, w in zip(held, at, strict=True):
-            bits[ends[s] - count[s] : ends[s]] = again[w : w + count[s]]
+        for i in held:
+            bits[i] = np.packbits(again[where : where + len(texts[i]) - LENGTH + 1]).tobytes()
+            where += len(texts[i]) + 1
         held, total = [], 0
-    per_row = np.bincount(row, weights=count, minlength=table.num_rows).astype(np.int64)
-    edge = np.concatenate([[0], np.cumsum(per_row)])
-    return [np.packbits(bits[edge[i] : edge[i + 1]]).tobytes() for i in range(table.num_rows)]
+    return bits
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """A bucket's segments (kind 1) and single windows of hot grams (kind 2): bits of what repeats."""
-    kind = np.asarray(table.column("__kind"))
-    out = []
-    for k in (1, 2):
-        mine = table.filter(pa.array(kind == k))
-        if not mine.num_rows:
-            continue
-        if k == 1:
-            yes = _transform(mine)
-        else:
-            key, row = X.received(mine, "keys", np.uint64)
-            times, _ = X.received(mine, "size", np.uint32)
-            _, which = np.unique(key, return_inverse=True)
-            again = np.bincount(which, weights=times)[which] > 1
-            yes = X.reply(mine, again, row).column("yes").to_pylist()
-        empty = pa.nulls(mine.num_rows, pa.binary())
-        out.append(pa.table({X.GROUP: mine.column(X.GROUP), X.BUCKET: mine.column(X.BUCKET), "__kind": mine.column("__kind"), "yes": pa.array(yes, pa.binary()), "ship": empty, "hot": empty}))
-    return pa.concat_tables(out)
+    """A bucket's segments get bits of the windows that repeat; of the single windows of hot grams those that repeat stay."""
+    table = table.combine_chunks()
+    whole = np.asarray(table.column("bytes").is_valid())
+    own, single = table.filter(pa.array(whole)), table.filter(pa.array(~whole))
+    bits = _transform(np.asarray(own.column("gram")), [np.frombuffer(x.as_buffer(), np.uint8) for x in own.column("bytes")])
+    own = own.select([X.GROUP, "gram", "segment"]).append_column("bits", pa.array(bits, pa.binary()))
+    _, which = np.unique(np.asarray(single.column("gram")), return_inverse=True)
+    many = np.bincount(which, weights=np.asarray(single.column("times")))[which] > 1 if len(which) else np.empty(0, bool)
+    single = single.filter(pa.array(many)).select([X.GROUP, "gram", "segment"])
+    single = single.append_column("bits", pa.nulls(single.num_rows, pa.binary()))
+    return pa.concat_tables([own.append_column("what", pa.array(np.full(own.num_rows, BITS, np.int32))), single.append_column("what", pa.array(np.full(single.num_rows, WINDOW, np.int32)))]).select(ANSWER)
+
+
+ANSWER = [X.GROUP, "what", "gram", "segment", "bits"]
 
 
 class _Asked:
-    """What a group learned about its kinds of segments, and what it sent on because of that."""
-
-    def __init__(self, g: _Group, back: pa.Table, buckets: int):
-        self.twice, ship, hot = (X.answers(back, buckets, g.kind_gram, c) for c in ("yes", "ship", "hot"))
-        self.sent, self.split = np.flatnonzero(ship & ~hot), np.flatnonzero(ship & hot)
-        to = X.bucket_of(g.kind_gram[self.sent], buckets)
-        self.sent = self.sent[np.argsort(to, kind="stable")]
-        self.to = np.sort(to)
+    """What a group learned about its kinds of segments: those that occur twice, those to send on, those to split to windows."""
+
+    def __init__(self, g: _Group, back: pa.Table):
+        at, what = g.kinds_of(back), np.asarray(back.column("what"))
+        self.twice = np.zeros(len(g.kind_gram), bool)
+        self.twice[at[what == TWICE]] = True
+        self.sent, self.split = np.sort(at[what == SEND]), np.sort(at[what == SPLIT])
         self.window, self.count = g.windows(self.split)
         self.windows, self.which, self.times = np.unique(self.window, return_inverse=True, return_counts=True)
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, the kept bytes, their kept_sha256, and kept_text without characters cut in two."""
+def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept", "kept_text")) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; ``give`` adds the kept bytes, and kept_text without characters cut in two."""
     X.ship(docs.sparkSession)
     groups = groups or X.group_count(docs)
+    result = [f for f in RESULT.fields if f.name not in ("kept", "kept_text") or f.name in give]
     keep = [c for c in docs.columns if c not in RESULT.names]
-    text = X.in_groups(docs.select(*dict.fromkeys([*keep, id_col, text_col])), id_col, groups)
+    text = X.in_groups(docs.select(*dict.fromkeys([*keep, text_col])), groups)
 
     def ask(key, table):
         g = _Group(table, text_col)
-        return X.send(key[0].as_py(), groups, g.kind_gram, segment=g.kind_key, many=g.many)
+        return pa.table({"gram": _long(g.kind_gram), "segment": _long(g.kind_key), "holder": pa.array(2 * key[0].as_py() + g.many.astype(np.int64))})
 
-    def ship(key, table, back):
+    def send(key, table, back):
         g = _Group(table, text_col)
-        a = _Asked(g, back, groups)
-        edge = np.searchsorted(a.to, np.arange(groups + 1))
-        full = np.flatnonzero(np.diff(edge))
-        spans = [a.sent[edge[b] : edge[b + 1]] for b in full]
-        whole = pa.table({
-            X.BUCKET: pa.array(full.astype(np.int32)), X.GROUP: pa.array(np.full(len(full), key[0].as_py(), np.int32)), "__kind": pa.array(np.ones(len(full), np.int32)),
-            "keys": pa.array([g.kind_gram[s].tobytes() for s in spans], pa.binary()), "size": pa.array([(g.kind_stop[s] - g.kind_start[s]).astype(np.uint32).tobytes() for s in spans], pa.binary()),
-            "bytes": pa.array([b"".join([g.buf[x:y].tobytes() for x, y in zip(g.kind_start[s].tolist(), g.kind_stop[s].tolist(), strict=True)]) for s in spans], pa.binary()),
+        a = _Asked(g, back)
+        n, m = len(a.sent), len(a.windows)
+        raw = [g.buf[x:y].tobytes() for x, y in zip(g.kind_start[a.sent].tolist(), g.kind_stop[a.sent].tolist(), strict=True)]
+        return pa.table({
+            X.GROUP: pa.array(np.full(n + m, key[0].as_py(), np.int32)), "gram": _long(np.concatenate([g.kind_gram[a.sent], a.windows])), "segment": pa.concat_arrays([_long(g.kind_key[a.sent]), pa.nulls(m, pa.int64())]),
+            "times": pa.array(np.concatenate([np.ones(n, np.int64), a.times.astype(np.int64)])), "bytes": pa.array(raw + [None] * m, pa.binary()),
         })
-        single = X.send(key[0].as_py(), groups, a.windows, size=a.times.astype(np.uint32))
-        n = single.num_rows
-        single = pa.table({X.BUCKET: single.column(X.BUCKET), X.GROUP: single.column(X.GROUP), "__kind": pa.array(np.full(n, 2, np.int32)), "keys": single.column("keys"), "size": single.column("size"), "bytes": pa.nulls(n, pa.binary())})
-        return pa.concat_tables([whole, single])
 
     def finish(key, table, back):
         g = _Group(table, text_col)
-        kind = np.asarray(back.column("__kind"))
-        a = _Asked(g, back.filter(pa.array(kind == 0)), groups)
+        what = np.asarray(back.column("what"))
+        a = _Asked(g, back.filter(pa.array(what <= SPLIT)))
         room = g.kind_stop - g.kind_start - LENGTH + 1
         ends = np.cumsum(room)
         bits = np.repeat(a.twice, room)  # of the windows of each kind
-        mine = back.filter(pa.array(kind == 1))
-        for b, yes in zip(mine.column(X.BUCKET).to_pylist(), mine.column("yes").to_pylist(), strict=True):
-            kinds = a.sent[np.searchsorted(a.to, b) : np.searchsorted(a.to, b, "right")]
-            got = np.unpackbits(np.frombuffer(yes, np.uint8), count=int(room[kinds].sum())).astype(bool)
-            where = 0
-            for k in kinds.tolist():
-                bits[ends[k] - room[k] : ends[k]] |= got[where : where + room[k]]
-                where += room[k]
-        again = X.answers(back.filter(pa.array(kind == 2)), groups, a.windows)[a.which]
+        mine = back.filter(pa.array(what == BITS))
+        for k, yes in zip(g.kinds_of(mine).tolist(), mine.column("bits"), strict=True):
+            bits[ends[k] - room[k] : ends[k]] |= np.unpackbits(np.frombuffer(yes.as_buffer(), np.uint8), count=int(room[k])).astype(bool)
+        again = X.among(a.windows, np.asarray(back.filter(pa.array(what == WINDOW)).column("gram")).view(np.uint64))[a.which]
         where = 0
         for k, n in zip(a.split.tolist(), a.count.tolist(), strict=True):
             bits[ends[k] - room[k] : ends[k]] |= again[where : where + n]
@@ -336,24 +303,34 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
             at = np.flatnonzero(bits[ends[k] - room[k] : ends[k]]) + g.start[s]
             edge[at] += 1
             edge[at + LENGTH] -= 1  # starts of one segment differ
-        gone = np.cumsum(edge[:-1]) > 0
-        rows = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "kept_text": []}
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        rows = {f.name: [] for f in RESULT.fields}
         for x, y in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
             off, own = gone[x:y], g.buf[x:y]
             kept = own[~off].tobytes()
-            values = y - x, int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")
+            values = y - x, int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if "kept" in give else None, kept.decode("utf-8", "ignore") if "kept_text" in give else None
             for c, v in zip(rows, values, strict=True):
                 rows[c].append(v)
-        return pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}[f.dataType]) for f in RESULT})
-
-    sent = f"{X.BUCKET} int, {X.GROUP} int, keys binary"
-    kinds = text.groupBy(X.GROUP).applyInArrow(ask, f"{sent}, segment binary, many binary").groupBy(X.BUCKET).applyInArrow(_kinds, ANSWER)
-    shipped = text.groupBy(X.GROUP).cogroup(kinds.groupBy(X.GROUP)).applyInArrow(ship, f"{X.BUCKET} int, {X.GROUP} int, __kind int, keys binary, size binary, bytes binary")
-    judged = shipped.groupBy(X.BUCKET).applyInArrow(_judge, ANSWER)
-    schema = T.StructType([f for f in text.schema.fields if f.name in keep] + RESULT.fields)
-    return text.groupBy(X.GROUP).cogroup(kinds.unionByName(judged).groupBy(X.GROUP)).applyInArrow(finish, schema)
+        kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
+        return pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], kinds[f.dataType]) for f in result})
+
+    c, by_group, of = F.col, text.groupBy(X.GROUP), Window.partitionBy("gram", "segment")
+    group = F.floor(c("holder") / 2).cast("int").alias(X.GROUP)
+    # a row for each kind of segment and group that holds it, odd if the group has it twice; all that follows reads one exchange
+    asked = by_group.applyInArrow(ask, "gram long, segment long, holder long")
+    kinds = asked.withColumn("n", F.count("*").over(of) + F.max(c("holder") % 2).over(of)).withColumn("at", F.row_number().over(of.orderBy("holder")))
+    twice = kinds.where("n > 1").select(group, F.lit(TWICE).alias("what"), "gram", "segment")
+    first = kinds.where("at = 1").select("holder", "gram", "segment")
+    several = first.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    passed = first.join(several, "gram").select(group, F.when(c("kinds") > HOT, SPLIT).otherwise(SEND).alias("what"), "gram", "segment")
+    sent = by_group.cogroup(passed.groupBy(X.GROUP)).applyInArrow(send, f"{X.GROUP} int, gram long, segment long, times long, bytes binary")
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(groups)).cast("int")
+    judged = sent.groupBy(bucket.alias("__bucket")).applyInArrow(_judge, f"{X.GROUP} int, what int, gram long, segment long, bits binary")
+    answers = twice.unionByName(passed).withColumn("bits", F.lit(None).cast("binary")).unionByName(judged)
+    schema = T.StructType([f for f in text.schema.fields if f.name in keep] + result)
+    return by_group.cogroup(answers.groupBy(X.GROUP)).applyInArrow(finish, schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, groups=X.group_count(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=()).drop("text")

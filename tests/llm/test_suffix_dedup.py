@@ -64,37 +64,41 @@ def test_matches_brute_force(spark, groups):
     assert run(spark, rows, groups=groups) == brute(rows)
 
 
-def test_pieces_units_and_hot_grams(spark, monkeypatch):
-    """Small limits: texts in pieces, several transforms a bucket, grams split to windows (in this process)."""
-    import pyarrow as pa
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_grams(spark, monkeypatch, hot):
+    """Grams of several kinds of segments, split to windows."""
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = planted()
+    assert run(spark, rows, groups=4) == brute(rows)
+
 
-    from duplexa.llm import _exchange as X
+def test_long_texts(spark):
+    """Texts of more than a piece, with repeats within and across the pieces' edges."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    once, shared = text(3 * S.PIECE // 2), text(700)
+    at = S.PIECE - 350
+    rows = [(1, once[:at] + shared + once[at:]), (2, "x" + shared), (3, text(500) + once[S.PIECE - 2000 : S.PIECE - 1000])]
+    got = {x[0]: x[1:4] for x in run(spark, rows, groups=2)}
+    assert got == {1: (len(once) + 700, 1700, 2), 2: (701, 700, 1), 3: (1500, 1000, 1)}
+
+
+def test_pieces_and_units(monkeypatch):
+    """Small limits: texts in pieces, several transforms a bucket (in this process)."""
+    import pyarrow as pa
 
     rows = planted()
-    for hot, unit, piece in ((1, 1 << 20, 2 << 20), (4096, 900, 1000), (2, 900, 700)):
-        monkeypatch.setattr(S, "HOT", hot)
+    want = {(x[1], x[2]) for x in brute(rows)}
+    for unit, piece in ((1 << 20, 2 << 20), (900, 1000), (900, 700)):
         monkeypatch.setattr(S, "UNIT", unit)
         monkeypatch.setattr(S, "PIECE", piece)
         g = S._Group(pa.table({"text": pa.array([t for _, t in rows], pa.string())}), "text")
-        back = S._kinds(X.send(0, 1, g.kind_gram, segment=g.kind_key, many=g.many))
-        a = S._Asked(g, back, 1)
-        bits = {k: np.full(g.kind_stop[k] - g.kind_start[k] - 399, a.twice[k]) for k in range(len(g.many))}
-        if len(a.sent):
-            raw = b"".join(g.buf[g.kind_start[k] : g.kind_stop[k]].tobytes() for k in a.sent)
-            size = (g.kind_stop[a.sent] - g.kind_start[a.sent]).astype(np.uint32)
-            got = S._transform(pa.table({"keys": pa.array([g.kind_gram[a.sent].tobytes()]), "size": pa.array([size.tobytes()]), "bytes": pa.array([raw])}))
-            got = np.unpackbits(np.frombuffer(got[0], np.uint8)).astype(bool)
-            for k in a.sent:
-                n = len(bits[k])
-                bits[k], got = bits[k] | got[:n], got[n:]
-        again, at = (a.times > 1)[a.which], 0
-        for k, n in zip(a.split, a.count, strict=True):
-            bits[k], at = bits[k] | again[at : at + n], at + n
+        raw = [g.buf[x:y] for x, y in zip(g.kind_start.tolist(), g.kind_stop.tolist(), strict=True)]
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(x) - 399).astype(bool) | m for b, x, m in zip(S._transform(g.kind_gram, raw), raw, g.many, strict=True)]
         gone = np.zeros(len(g.buf), bool)
         for s, k in enumerate(g.kind):
             for at in np.flatnonzero(bits[k]) + g.start[s]:
                 gone[at : at + 400] = True
-        want = {(x[1], x[2]) for x in brute(rows)}
         assert {(int(y - x), int(gone[x:y].sum())) for x, y in zip(g.offsets[:-1], g.offsets[1:])} == want
 
 
