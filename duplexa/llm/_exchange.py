@@ -15,11 +15,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import _text
 
 GROUP = "__group"
 #: Bytes of stored input in one document group; with Parquet about twice as many bytes of text.
@@ -45,6 +50,27 @@ def in_groups(df: DataFrame, groups: int) -> DataFrame:
     return df.withColumn(GROUP, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
 
+def by_text(docs: DataFrame, text_col: str, result: T.StructType, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """``docs`` with the columns ``result`` of its texts. ``make`` runs once a task and gives a function from texts to lists of values.
+
+    Only texts go to Python, in slices, and only results come back.
+    """
+    ship(docs.sparkSession)
+
+    @F.arrow_udf(result)
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        function = make()
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            for part in _text.slices([batch]):
+                yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(function(part.column(0)), kinds, strict=True)], names=result.names)
+
+    arrow = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
+    kinds = [arrow[f.dataType] for f in result.fields]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in result.names]
+    return docs.select(*keep, found(F.col(f"`{text_col}`")).alias("__found")).select(*keep, "__found.*")
+
+
 def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which keys are among some others."""
     if not len(some):

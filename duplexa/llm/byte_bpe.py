@@ -246,15 +246,12 @@ def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids (little-endian unsigned 32 bit), and the digests of ids and decoded bytes."""
-    X.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in RESULT.names]
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
-    at = rows.columns.index(text_col)
 
-    def run(batches):
+    def make():
         coder = codec(path)
-        for batch in _text.slices(batches, text_col, 2 << 20):
-            buf, offsets = _text.text_buffer(batch.column(at))
+
+        def encode(column: pa.Array) -> list:
+            buf, offsets = _text.text_buffer(column)
             odd = _odd(buf, offsets)
             start = cuts(buf, offsets) if len(buf) else np.empty(0, np.int64)
             doc = np.searchsorted(offsets, start, "right") - 1
@@ -263,12 +260,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(buf))]).filter(pa.array(plain)).dictionary_encode()
             table = coder.pieces_of(pieces.dictionary.to_pylist())
             which = np.asarray(pieces.indices, dtype=np.int64)
-            where = np.searchsorted(doc[plain], np.arange(batch.num_rows + 1))
+            where = np.searchsorted(doc[plain], np.arange(len(column) + 1))
             out = [[], [], [], []]
-            for d in range(batch.num_rows):
+            for d in range(len(column)):
                 if odd[d]:
-                    text = buf[offsets[d] : offsets[d + 1]].tobytes().decode()
-                    words = [w.encode() for w in coder.pattern.findall(text)]
+                    words = [w.encode() for w in coder.pattern.findall(buf[offsets[d] : offsets[d + 1]].tobytes().decode())]
                     known = coder._cached(list(set(words)))
                     own = [known[w] for w in words]
                     coder.words.trim()
@@ -276,10 +272,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     own = [table[i] for i in which[where[d] : where[d + 1]].tolist()]
                 for c, v in zip(out, (sum(x[0] for x in own), hashlib.sha256(b" ".join([x[1] for x in own])).hexdigest(), hashlib.sha256(b"".join([x[3] for x in own])).hexdigest(), b"".join([x[2] for x in own]) if with_ids else None), strict=True):
                     c.append(v)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=keep + RESULT.names)
+            return out
+
+        return encode
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in keep] + RESULT.fields))
+    return X.by_text(docs, text_col, RESULT, make)
 
 
 def decode_ids(frame: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

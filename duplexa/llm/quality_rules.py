@@ -119,17 +119,13 @@ def count(column: pa.Array) -> dict[str, np.ndarray]:
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the counts of its texts; one pass, no shuffle."""
-    X.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in STATS]
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
-    at = rows.columns.index(text_col)
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in STATS])
 
-    def run(batches):
-        for batch in _text.slices(batches, text_col):
-            got = count(batch.column(at))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(got[c].astype(np.int64)) for c in STATS], names=keep + STATS)
+    def counts(column: pa.Array) -> list[np.ndarray]:
+        got = count(column)
+        return [got[c].astype(np.int64) for c in STATS]
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in keep] + [T.StructField(c, T.LongType()) for c in STATS]))
+    return X.by_text(docs, text_col, kinds, lambda: counts)
 
 
 #: Ratios a rule may test: name, numerator, denominator. All are 0 where the denominator is 0.

@@ -40,7 +40,7 @@ from . import _text
 #: Documented bounds of the fit.
 MOST_LABELLED, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 4_000, 1_000
 PREFIXES = (3, 4, 5, 6)
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if terms:
         phrases = _counted(mine, lambda folded: _phrases(folded, terms)).where("toxic = 0 and clean >= 3")
         out.exceptions = sorted(r["term"] for r in phrases.orderBy(c("clean").desc(), "term").limit(MOST_EXCEPTIONS).collect())
-    points = _featured(mine, out, ["__label"], "__text").select("__label", "weight", "n_terms", "n_words").toPandas()
+    points = _featured(mine, out, "__text").select("__label", "weight", "n_terms", "n_words").toPandas()
     points = points.sort_values(list(points.columns), kind="stable").to_numpy(float)
     out.coefficients = tuple(float(v) for v in _logistic(_inputs(points[:, 1:]), points[:, 0]))
     return out
@@ -217,26 +217,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 FEATURES = T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("n_terms", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str) -> DataFrame:
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
-    at = rows.columns.index(text_col)
-
-    def run(batches):
+def _featured(docs: DataFrame, lexicon: Lexicon, text_col: str) -> DataFrame:
+    def make():
         matcher = lexicon.matcher()
-        for batch in _text.slices(batches, text_col, SLICE):
-            found = np.array([matcher.features(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, 3)
-            columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-            columns += [pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int64)), pa.array(found[:, 2].astype(np.int64)), pa.array(lexicon.score(found))]
-            yield pa.RecordBatch.from_arrays(columns, names=keep + FEATURES.names)
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in keep] + FEATURES.fields))
+        def features(column: pa.Array) -> list:
+            found = np.array([matcher.features(t or "") for t in column.to_pylist()], float).reshape(-1, 3)
+            return [found[:, 0], found[:, 1].astype(np.int64), found[:, 2].astype(np.int64), lexicon.score(found)]
+
+        return features
+
+    return X.by_text(docs, text_col, FEATURES, make)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """``docs`` with weight, n_terms, n_words, score and predicted."""
-    X.ship(docs.sparkSession)
-    keep = [k for k in docs.columns if k not in [*FEATURES.names, "predicted"]]
-    return _featured(docs, lexicon, keep, text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return _featured(docs.drop("predicted"), lexicon, text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
