@@ -100,12 +100,15 @@ class _Group:
         return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept_text",)) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_sha256; ``give`` adds kept_text (kept words joined by one space)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept_text",), keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_sha256; ``give`` adds kept_text (kept words joined by one space).
+
+    Without ``keep_text`` the input's text is left out of the result.
+    """
     X.ship(docs.sparkSession)
     groups = groups or X.group_count(docs)
     result = [f for f in RESULT.fields if f.name != "kept_text" or f.name in give]
-    keep = [c for c in docs.columns if c not in RESULT.names]
+    keep = [c for c in docs.columns if c not in RESULT.names and (keep_text or c != text_col)]
     text = X.in_groups(docs.select(*dict.fromkeys([*keep, id_col, text_col])), groups)
 
     def ask(key, table):
@@ -160,4 +163,4 @@ def _keys(table: pa.Table, column: str) -> np.ndarray:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=()).drop("text")
+    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=(), keep_text=False)

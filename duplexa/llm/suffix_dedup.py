@@ -16,6 +16,8 @@ an unbounded group.
 * Null texts count as empty; texts under 400 bytes lose nothing. Ids play no
   part: rows with null or equal ids, and repeated rows, are
   separate documents, and a repeated row repeats everything.
+* With ``keep_first`` a string stays where it starts first, in the order of the table's rows
+  and then of the text, and goes everywhere else.
 * Strings overlap freely and are judged on the input. Empty tables give empty
   results. A text is handled in pieces of half a MB, so length is no limit.
 * The input must be a stored table (see ``in_groups``). Its columns are kept unless a result
@@ -75,8 +77,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def repeated_starts(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each rotation of ``text``, whether its first ``length`` bytes start another one too."""
+def repeated_starts(text: np.ndarray, length: int = LENGTH, rank: np.ndarray | None = None) -> np.ndarray:
+    """For each rotation of ``text``, whether its first ``length`` bytes start another one too; with a rank, one of lower rank."""
     n = len(text)
     if n < 2:
         return np.zeros(n, bool)
@@ -117,9 +119,9 @@ def repeated_starts(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
         low, stop = low[new], stop[new]
         known[stop] = True
     edge = np.flatnonzero(known)
-    many = np.repeat(np.diff(edge) > 1, np.diff(edge))
+    size = np.diff(edge)
     out = np.empty(n, bool)
-    out[order] = many
+    out[order] = np.repeat(size > 1, size) if rank is None else rank[order] > np.repeat(np.minimum.reduceat(rank[order], edge[:-1]), size)
     return out
 
 
@@ -136,10 +138,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Group:
-    """Segments of a group's texts: gram, key, and bytes ``start:stop`` of the group's buffer."""
+    """Segments of a group's texts, in the order of rows: gram, key, and bytes ``start:stop`` of the group's buffer."""
 
     def __init__(self, table: pa.Table, text_col: str):
         self.buf, self.offsets = _text.text_buffer(table.column(text_col).combine_chunks() if table.num_rows else pa.array([], pa.string()))
+        self.row = np.asarray(table.column(ROW), dtype=np.int64)
         parts = [self._piece(a, b) for a, b in self._pieces()]
         kinds = (np.uint64, np.uint64, np.int64, np.int64)
         self.gram, self.key, self.start, self.stop = (np.concatenate([np.empty(0, k), *[p[i] for p in parts]]) for i, k in enumerate(kinds))
@@ -152,6 +155,10 @@ class _Group:
         first = order[new]  # of each kind of segment, in the order of gram and key
         self.kind_gram, self.kind_key, self.kind_start, self.kind_stop = self.gram[first], self.key[first], self.start[first], self.stop[first]
         self.many = np.bincount(self.kind, minlength=len(first)) > 1
+        self.first = np.zeros(len(order), bool)
+        self.first[first] = True
+        doc = np.searchsorted(self.offsets, self.kind_start, "right") - 1
+        self.kind_row, self.kind_at = self.row[doc], self.kind_start - self.offsets[doc]
 
     def _pieces(self):
         """Byte ranges of whole texts, up to PIECE together, or of parts of a longer one that share 399 bytes."""
@@ -203,10 +210,16 @@ class _Group:
         return np.concatenate([np.empty(0, np.uint64), *parts]), count
 
 
-TWICE, SEND, SPLIT, BITS, WINDOW = range(5)
+ROW = "__row"
+#: What a group is told of a kind of segment: all its windows repeat (ALL: in every place; REST: in all but the first),
+#: it is to be sent, it is to be split to windows, and bits of its windows; or of a window.
+ALL, REST, SEND, SPLIT, BITS, WINDOW = range(6)
+ANSWER = [X.GROUP, "what", "gram", "segment", "bits"]
+ASKED = f"gram long, segment long, holder long, {ROW} long, at long"
+SENT = f"{X.GROUP} int, gram long, segment long, times long, bytes binary, {ROW} long, at long"
 
 
-def _transform(gram: np.ndarray, texts: list[np.ndarray]) -> list[bytes]:
+def _transform(gram: np.ndarray, texts: list[np.ndarray], rank: np.ndarray | None) -> list[bytes]:
     """Bits of the windows of segments, through transforms of about UNIT bytes of segments by gram."""
     if not texts:
         return []
@@ -221,7 +234,9 @@ def _transform(gram: np.ndarray, texts: list[np.ndarray]) -> list[bytes]:
         total += sum(len(texts[i]) for i in order[h:stop].tolist())
         if total < UNIT and stop < len(order):
             continue
-        again = repeated_starts(np.concatenate([x for i in held for x in (texts[i], mark)]))
+        size = np.array([len(texts[i]) + 1 for i in held])
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        again = repeated_starts(np.concatenate([x for i in held for x in (texts[i], mark)]), rank=None if rank is None else (np.repeat(rank[held], size) << 32) + at)
         where = 0
         for i in held:
             bits[i] = np.packbits(again[where : where + len(texts[i]) - LENGTH + 1]).tobytes()
@@ -230,77 +245,108 @@ def _transform(gram: np.ndarray, texts: list[np.ndarray]) -> list[bytes]:
     return bits
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """A bucket's segments get bits of the windows that repeat; of the single windows of hot grams those that repeat stay."""
+def _ranked(table: pa.Table) -> np.ndarray:
+    """The place of each row in the order of the texts and of the places in them."""
+    out = np.empty(table.num_rows, np.int64)
+    out[np.lexsort((np.asarray(table.column("at")), np.asarray(table.column(ROW))))] = np.arange(table.num_rows)
+    return out
+
+
+def _judge(table: pa.Table, keep_first: bool) -> pa.Table:
+    """A bucket's segments get bits of the windows to remove; of the single windows of hot grams those to remove stay."""
     table = table.combine_chunks()
     whole = np.asarray(table.column("bytes").is_valid())
     own, single = table.filter(pa.array(whole)), table.filter(pa.array(~whole))
-    bits = _transform(np.asarray(own.column("gram")), [np.frombuffer(x.as_buffer(), np.uint8) for x in own.column("bytes")])
+    bits = _transform(np.asarray(own.column("gram")), [np.frombuffer(x.as_buffer(), np.uint8) for x in own.column("bytes")], _ranked(own) if keep_first else None)
     own = own.select([X.GROUP, "gram", "segment"]).append_column("bits", pa.array(bits, pa.binary()))
-    _, which = np.unique(np.asarray(single.column("gram")), return_inverse=True)
-    many = np.bincount(which, weights=np.asarray(single.column("times")))[which] > 1 if len(which) else np.empty(0, bool)
+    kinds, which = np.unique(np.asarray(single.column("gram")), return_inverse=True)
+    if keep_first:
+        rank, least = _ranked(single), np.full(len(kinds), single.num_rows)
+        np.minimum.at(least, which, rank)
+        many = rank > least[which]
+    else:
+        many = np.bincount(which, weights=np.asarray(single.column("times")))[which] > 1 if len(which) else np.empty(0, bool)
     single = single.filter(pa.array(many)).select([X.GROUP, "gram", "segment"])
     single = single.append_column("bits", pa.nulls(single.num_rows, pa.binary()))
     return pa.concat_tables([own.append_column("what", pa.array(np.full(own.num_rows, BITS, np.int32))), single.append_column("what", pa.array(np.full(single.num_rows, WINDOW, np.int32)))]).select(ANSWER)
 
 
-ANSWER = [X.GROUP, "what", "gram", "segment", "bits"]
-
-
 class _Asked:
-    """What a group learned about its kinds of segments: those that occur twice, those to send on, those to split to windows."""
+    """What a group learned about its kinds of segments: bits of their windows, those to send on, those to split to windows."""
 
     def __init__(self, g: _Group, back: pa.Table):
         at, what = g.kinds_of(back), np.asarray(back.column("what"))
-        self.twice = np.zeros(len(g.kind_gram), bool)
-        self.twice[at[what == TWICE]] = True
+        self.everywhere, self.rest = np.zeros(len(g.kind_gram), bool), np.zeros(len(g.kind_gram), bool)
+        self.everywhere[at[what == ALL]] = True
+        self.rest[at[what == REST]] = True
         self.sent, self.split = np.sort(at[what == SEND]), np.sort(at[what == SPLIT])
+        self.split = self.split[np.argsort(g.kind_start[self.split])]  # the first of equal windows is the first in the text
         self.window, self.count = g.windows(self.split)
-        self.windows, self.which, self.times = np.unique(self.window, return_inverse=True, return_counts=True)
+        self.windows, self.head, self.which, self.times = np.unique(self.window, return_index=True, return_inverse=True, return_counts=True)
+
+    def places(self, g: _Group) -> tuple[np.ndarray, np.ndarray]:
+        """Row, and place in it, of each distinct window's first start."""
+        which = np.repeat(np.arange(len(self.split)), self.count)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        return g.kind_row[self.split][which][self.head], (g.kind_at[self.split][which] + at)[self.head]
+
 
+def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept", "kept_text"), keep_first: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; ``give`` adds the kept bytes, and kept_text without characters cut in two.
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None = None, give: tuple[str, ...] = ("kept", "kept_text")) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; ``give`` adds the kept bytes, and kept_text without characters cut in two."""
+    ``keep_first`` leaves one copy of what repeats; without ``keep_text`` the input's text is left out of the result.
+    """
     X.ship(docs.sparkSession)
     groups = groups or X.group_count(docs)
     result = [f for f in RESULT.fields if f.name not in ("kept", "kept_text") or f.name in give]
-    keep = [c for c in docs.columns if c not in RESULT.names]
-    text = X.in_groups(docs.select(*dict.fromkeys([*keep, text_col])), groups)
+    keep = [c for c in docs.columns if c not in RESULT.names and (keep_text or c != text_col)]
+    text = X.in_groups(docs.select(*dict.fromkeys([*keep, text_col])).withColumn(ROW, F.monotonically_increasing_id()), groups)
+
+    def group(table: pa.Table) -> tuple[pa.Table, _Group]:
+        table = table.take(pa.array(np.argsort(np.asarray(table.column(ROW)), kind="stable")))
+        return table, _Group(table, text_col)
 
     def ask(key, table):
-        g = _Group(table, text_col)
-        return pa.table({"gram": _long(g.kind_gram), "segment": _long(g.kind_key), "holder": pa.array(2 * key[0].as_py() + g.many.astype(np.int64))})
+        _, g = group(table)
+        return pa.table({"gram": _long(g.kind_gram), "segment": _long(g.kind_key), "holder": pa.array(2 * key[0].as_py() + g.many.astype(np.int64)), ROW: _long(g.kind_row), "at": _long(g.kind_at)})
 
     def send(key, table, back):
-        g = _Group(table, text_col)
+        _, g = group(table)
         a = _Asked(g, back)
         n, m = len(a.sent), len(a.windows)
         raw = [g.buf[x:y].tobytes() for x, y in zip(g.kind_start[a.sent].tolist(), g.kind_stop[a.sent].tolist(), strict=True)]
+        row, at = a.places(g)
         return pa.table({
             X.GROUP: pa.array(np.full(n + m, key[0].as_py(), np.int32)), "gram": _long(np.concatenate([g.kind_gram[a.sent], a.windows])), "segment": pa.concat_arrays([_long(g.kind_key[a.sent]), pa.nulls(m, pa.int64())]),
             "times": pa.array(np.concatenate([np.ones(n, np.int64), a.times.astype(np.int64)])), "bytes": pa.array(raw + [None] * m, pa.binary()),
+            ROW: _long(np.concatenate([g.kind_row[a.sent], row])), "at": _long(np.concatenate([g.kind_at[a.sent], at])),
         })
 
     def finish(key, table, back):
-        g = _Group(table, text_col)
+        table, g = group(table)
         what = np.asarray(back.column("what"))
         a = _Asked(g, back.filter(pa.array(what <= SPLIT)))
         room = g.kind_stop - g.kind_start - LENGTH + 1
         ends = np.cumsum(room)
-        bits = np.repeat(a.twice, room)  # of the windows of each kind
+        bits = np.repeat(a.everywhere, room)  # of the windows of each kind
         mine = back.filter(pa.array(what == BITS))
         for k, yes in zip(g.kinds_of(mine).tolist(), mine.column("bits"), strict=True):
             bits[ends[k] - room[k] : ends[k]] |= np.unpackbits(np.frombuffer(yes.as_buffer(), np.uint8), count=int(room[k])).astype(bool)
-        again = X.among(a.windows, np.asarray(back.filter(pa.array(what == WINDOW)).column("gram")).view(np.uint64))[a.which]
+        again = X.among(a.windows, np.asarray(back.filter(pa.array(what == WINDOW)).column("gram")).astype(np.int64).view(np.uint64))[a.which]
+        if keep_first:  # of equal windows here all but the first go
+            later = np.ones(len(a.window), bool)
+            later[a.head] = False
+            again |= later
         where = 0
         for k, n in zip(a.split.tolist(), a.count.tolist(), strict=True):
             bits[ends[k] - room[k] : ends[k]] |= again[where : where + n]
             where += n
         edge = np.zeros(len(g.buf) + 1, np.int32)
-        live = np.flatnonzero(np.add.reduceat(bits, ends - room)[g.kind] > 0) if len(ends) else []
+        full = a.rest[g.kind] & ~g.first if len(ends) else g.first
+        live = np.flatnonzero((np.add.reduceat(bits, ends - room)[g.kind] > 0) | full) if len(ends) else []
         for s in live:
             k = g.kind[s]
-            at = np.flatnonzero(bits[ends[k] - room[k] : ends[k]]) + g.start[s]
+            at = (np.arange(room[k]) if full[s] else np.flatnonzero(bits[ends[k] - room[k] : ends[k]])) + g.start[s]
             edge[at] += 1
             edge[at + LENGTH] -= 1  # starts of one segment differ
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
@@ -314,18 +360,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
         kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
         return pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], kinds[f.dataType]) for f in result})
 
+    def judge(table):
+        return _judge(table, keep_first)
+
     c, by_group, of = F.col, text.groupBy(X.GROUP), Window.partitionBy("gram", "segment")
-    group = F.floor(c("holder") / 2).cast("int").alias(X.GROUP)
+    holder = F.floor(c("holder") / 2).cast("int").alias(X.GROUP)
     # a row for each kind of segment and group that holds it, odd if the group has it twice; all that follows reads one exchange
-    asked = by_group.applyInArrow(ask, "gram long, segment long, holder long")
-    kinds = asked.withColumn("n", F.count("*").over(of) + F.max(c("holder") % 2).over(of)).withColumn("at", F.row_number().over(of.orderBy("holder")))
-    twice = kinds.where("n > 1").select(group, F.lit(TWICE).alias("what"), "gram", "segment")
-    first = kinds.where("at = 1").select("holder", "gram", "segment")
+    kinds = by_group.applyInArrow(ask, ASKED)
+    kinds = kinds.withColumn("n", F.count("*").over(of) + F.max(c("holder") % 2).over(of)).withColumn("first", F.row_number().over(of.orderBy(ROW, "at", "holder")) == 1)
+    twice = kinds.where("n > 1").select(holder, (F.when(c("first"), REST) if keep_first else F.when(F.lit(False), REST)).otherwise(ALL).alias("what"), "gram", "segment")
+    first = kinds.where("first").select("holder", "gram", "segment")
     several = first.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    passed = first.join(several, "gram").select(group, F.when(c("kinds") > HOT, SPLIT).otherwise(SEND).alias("what"), "gram", "segment")
-    sent = by_group.cogroup(passed.groupBy(X.GROUP)).applyInArrow(send, f"{X.GROUP} int, gram long, segment long, times long, bytes binary")
+    passed = first.join(several, "gram").select(holder, F.when(c("kinds") > HOT, SPLIT).otherwise(SEND).alias("what"), "gram", "segment")
+    sent = by_group.cogroup(passed.groupBy(X.GROUP)).applyInArrow(send, SENT)
     bucket = F.pmod(F.xxhash64("gram"), F.lit(groups)).cast("int")
-    judged = sent.groupBy(bucket.alias("__bucket")).applyInArrow(_judge, f"{X.GROUP} int, what int, gram long, segment long, bits binary")
+    judged = sent.groupBy(bucket.alias("__bucket")).applyInArrow(judge, f"{X.GROUP} int, what int, gram long, segment long, bits binary")
     answers = twice.unionByName(passed).withColumn("bits", F.lit(None).cast("binary")).unionByName(judged)
     schema = T.StructType([f for f in text.schema.fields if f.name in keep] + result)
     return by_group.cogroup(answers.groupBy(X.GROUP)).applyInArrow(finish, schema)
@@ -333,4 +382,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=()).drop("text")
+    return remove_repeats(docs.select("doc_id", "text"), groups=X.group_count(docs), give=(), keep_text=False)

@@ -64,6 +64,25 @@ def test_matches_brute_force(spark, groups):
     assert run(spark, rows, groups=groups) == brute(rows)
 
 
+@pytest.mark.parametrize("groups,hot", [(1, 4096), (5, 4096), (3, 1), (4, 3)])
+def test_first_copy_stays(spark, tmp_path, monkeypatch, groups, hot):
+    """With keep_first a byte goes only if a 400-byte string over it starts earlier in the table as well."""
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = [(k, t) for k, (_, t) in enumerate(planted())]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    seen, want = set(), {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 399):
+            if b[s : s + 400] in seen:
+                gone[s : s + 400] = True
+            seen.add(b[s : s + 400])
+        want[i] = (len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    got = S.remove_repeats(spark.read.parquet(str(tmp_path / "t")), groups=groups, keep_first=True).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
 @pytest.mark.parametrize("hot", [1, 3])
 def test_hot_grams(spark, monkeypatch, hot):
     """Grams of several kinds of segments, split to windows."""
@@ -92,9 +111,9 @@ def test_pieces_and_units(monkeypatch):
     for unit, piece in ((1 << 20, 2 << 20), (900, 1000), (900, 700)):
         monkeypatch.setattr(S, "UNIT", unit)
         monkeypatch.setattr(S, "PIECE", piece)
-        g = S._Group(pa.table({"text": pa.array([t for _, t in rows], pa.string())}), "text")
+        g = S._Group(pa.table({"text": pa.array([t for _, t in rows], pa.string()), S.ROW: pa.array(range(len(rows)), pa.int64())}), "text")
         raw = [g.buf[x:y] for x, y in zip(g.kind_start.tolist(), g.kind_stop.tolist(), strict=True)]
-        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(x) - 399).astype(bool) | m for b, x, m in zip(S._transform(g.kind_gram, raw), raw, g.many, strict=True)]
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(x) - 399).astype(bool) | m for b, x, m in zip(S._transform(g.kind_gram, raw, None), raw, g.many, strict=True)]
         gone = np.zeros(len(g.buf), bool)
         for s, k in enumerate(g.kind):
             for at in np.flatnonzero(bits[k]) + g.start[s]:
