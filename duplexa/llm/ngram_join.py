@@ -45,8 +45,6 @@ SKETCH_BITS, BLOCK, STEPS = 22, 1 << 16, 8
 LIST_ROWS = 20_000
 #: Sets of a block whose blocks are compared pairwise; a block of a list has at most ROWS_OF_SET times as many rows on average.
 BLOCK_ROWS, ROWS_OF_SET = 4_096, 8
-#: Ids that a broadcast may hold (16 MB at most); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 SLICE = 1 << 20
 BUCKET = "__bucket"
 
@@ -229,15 +227,10 @@ def _possible(n, at, m, at2):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * F.least(n - at, m - at2) >= PERCENT * (n + m))
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """``rows`` of ids, to be broadcast if they are few enough; a shuffle join serves otherwise."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows
-
-
 def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, tokens) of some classes, from one text of each."""
     texts = X.written(ids.join(wanted, "key").select(F.col("id").alias("__id"), "key"), "wanted")
-    mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(_small(texts), "__id")
+    mine = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(X.small(texts), "__id")
 
     def run(batches):
         for batch in _text.slices(batches, "__text", SLICE):
@@ -418,10 +411,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     home = lists.select("token", "key", "n", "at", c("pivot").alias("home"))
     if heads.limit(1).count():  # parts of a dealt list meet by the least of their pivots
         home = home.join(heads.select("token", c("p.pivot").alias("first")), "token", "left").withColumn("home", F.coalesce("first", "home")).drop("first")
-    rooted = home.join(_small(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = home.join(X.small(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     mixed = X.written(mixed, "tokens")
-    rooted = X.written(rooted.join(_small(mixed), "token", "left_semi").select("home", "token", "key", "n", "at", "root"), "mixed")
+    rooted = X.written(rooted.join(X.small(mixed), "token", "left_semi").select("home", "token", "key", "n", "at", "root"), "mixed")
     X.discard(lists, mixed)
     of_key = rooted.groupBy("home", "key").agg(F.count("*").alias("rows"))
     blocks = of_key.groupBy("home").agg(F.ceil(F.greatest(F.count("*"), F.sum("rows") / ROWS_OF_SET) / block_rows).cast("int").alias("blocks"))
