@@ -5,9 +5,11 @@ every one but the last returns the columns of documents. Stages read what the on
 before wrote, so a lost executor repeats part of one stage.
 
 * Null texts pass as empty ones until a stage rejects or changes them (the quality
-  rules reject texts of fewer than ten words). Rows with null or equal ids are
-  documents like others: of each group of similar rows one row stays. Empty tables
-  give empty tables.
+  rules reject texts of fewer than ten words). Rows with null or equal ids, and repeated
+  rows, are documents like others: of each group of similar rows one row stays. Ties go to
+  the smaller id, then to the earlier row. Columns of documents that are missing are null,
+  others are left out. Empty tables give empty tables.
+* Every stage's docs must be a stored table, as ``run`` makes them.
 """
 
 from __future__ import annotations
@@ -18,38 +20,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duplexa.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
-from duplexa.llm._exchange import shared_folder
+from duplexa.llm import _exchange as X
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+COLUMNS = list(KINDS)
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents."""
+    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in KINDS.items()])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base or a learned rule rejects."""
+    docs = documents(docs)
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(docs, rules).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of similar ones, that with the smallest id (null ids last); repeated rows are one group.
-
-    Rows are told apart by a hash of all their columns, so equal ids with different texts are different documents.
-    """
-    row = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))])
-    docs = docs.select(*COLUMNS, row.alias("__row")).dropDuplicates(["__row"])
-    groups = ngram_join.join(docs, id_col="__row").select("__row", "component_id")
-    named = docs.select("__row", "doc_id").join(groups, "__row")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
-    return docs.join(kept, "__row", "left_semi").select(*COLUMNS)
+    """Keeps one row of each group of similar ones, that with the smallest id (null ids last). Rows without words are groups of their own."""
+    rows = X.written(documents(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbered once and for all
+    groups = ngram_join.join(rows, id_col="__row").select("__row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
+    kept = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return rows.join(X.small(X.written(kept, "kept")), "__row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings that repeat; characters cut in two go as well. Documents stay, if need be as empty texts."""
-    cut = suffix_dedup.remove_repeats(docs).withColumn("text", F.col("kept_text"))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Removes byte strings that occur earlier in the table; characters cut in two go as well. Documents stay, if need be as empty texts."""
+    cut = suffix_dedup.remove_repeats(documents(docs), give=("kept_text",), keep_first=True, keep_text=False)
+    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret that is found."""
+    docs = documents(docs)
     found = secret_scan.scan(docs, secret_scan.learn(docs))
     changed = F.col("spans") != ""
     return found.withColumn("text", F.when(changed, F.col("redacted")).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("redacted")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
@@ -57,7 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences."""
-    return packing.pack(docs)
+    return packing.pack(documents(docs))
 
 
 STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("suffix_dedup", repeats), ("secret_scan", secrets), ("packing", pack)]
@@ -66,7 +72,7 @@ STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("suffix_
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{X.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
