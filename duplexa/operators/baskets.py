@@ -23,10 +23,16 @@ def exploded_counts(baskets_: DataFrame) -> DataFrame:
 
 
 def basket_pairs(baskets_: DataFrame, weight: str | None = None) -> DataFrame:
-    """Every pair of a sorted basket, the smaller id first."""
-    suffixes = F.transform("items", lambda x, k: F.transform(F.slice("items", k + 2, F.size("items")), lambda y: F.struct(x.alias("p1"), y.alias("p2"))))
+    """Every pair of a sorted basket, the smaller id first. Pairs stream from two generators: no row holds more than a basket."""
     extra = [] if weight is None else [weight]
-    return baskets_.where(F.size("items") > 1).select(*extra, F.inline(F.flatten(suffixes)))
+    at = baskets_.where(F.size("items") > 1).select(*extra, "items", F.posexplode("items").alias("pos", "p1"))
+    return at.select(*extra, "p1", F.explode(F.slice("items", F.col("pos") + 2, F.size("items"))).alias("p2"))
+
+
+def listed(rows: DataFrame, order: str) -> DataFrame:
+    """(user, items): all items of each user in the order of a column, repeats kept; ties by ascending item."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("item").alias("item"))))
+    return rows.na.drop(subset=["user", "item"]).groupBy("user").agg(F.transform(pairs, lambda x: x["item"]).alias("items"))
 
 
 def ranked_baskets(edges: DataFrame, min_support: int) -> DataFrame:
@@ -39,9 +45,10 @@ def ranked_baskets(edges: DataFrame, min_support: int) -> DataFrame:
 
 def group_dependent(edges: DataFrame, min_support: int, groups: int) -> DataFrame:
     """For each user and group of items (id modulo groups), the basket's prefix up to the group's last item."""
-    at = ranked_baskets(edges, min_support).select("user", "items", F.posexplode("items").alias("pos", "item"))
-    last = at.groupBy("user", F.pmod("item", F.lit(groups)).cast("bigint").alias("grp")).agg(F.max("pos").alias("pos"), F.any_value("items").alias("items"))
-    return last.select("user", "grp", F.expr("slice(items, 1, pos + 1)").alias("prefix"))
+    last = lambda g: F.array_max(F.transform("items", lambda x, k: F.when(F.pmod(x, F.lit(groups)) == g, k + 1).otherwise(0)))
+    ends = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")), lambda g: F.struct(g.alias("grp"), last(g).alias("size")))
+    at = ranked_baskets(edges, min_support).select("user", "items", F.explode(F.filter(ends, lambda e: e["size"] > 0)).alias("e"))
+    return at.select("user", "e.grp", F.slice("items", F.lit(1), F.col("e.size")).alias("prefix"))
 
 
 def frequent_baskets(edges: DataFrame, min_support: int) -> DataFrame:

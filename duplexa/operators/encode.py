@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 
-def ranked(rows: DataFrame, key: list[str], name: str = "rank", ranges: int = 64) -> DataFrame:
+
+def ranked(rows: DataFrame, key: list[str], name: str = "rank") -> DataFrame:
     """``rows`` numbered 1..n in the ascending order of key columns (unique together), without one task for all.
 
-    Rows are dealt to ranges between quantiles of a small sample (it balances the ranges; any bounds give the same
-    numbers); each range is ranked by itself and shifted by the sizes of those before it, at most ``ranges`` rows.
+    Rows are sorted by ranges, as many as there are shuffle partitions, and written once with the number of their range
+    and place; each place is shifted by the sizes of the ranges before, one row a range.
     """
-    sample = sorted(tuple(r) for r in rows.select(*key).orderBy(F.xxhash64(*key), *key).limit(ranges * 16).collect())
-    own = F.struct(*key)
-    kinds = [rows.schema[k].dataType for k in key]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(b, kinds, key, strict=True)]) for b in sample[16::16]]
-    parts = rows.withColumn("__part", F.size(F.filter(F.array(*bounds), lambda b: b <= own)) if bounds else F.lit(0))
+    sorted_ = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    parts = staged(sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__place", place), "ranked")
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    within = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*key)))
-    return within.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__rank") + F.col("__before")).cast("bigint").alias(name))
+    return parts.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__place") + F.col("__before")).cast("bigint").alias(name))
 
 
-def numbered(values: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+def numbered(values: DataFrame, column: str) -> DataFrame:
     """(index, id): the distinct values numbered 1..n in their order."""
     distinct = values.select(F.col(column).alias("id")).na.drop().distinct()
-    return ranked(distinct, ["id"], "index", ranges).select("index", "id")
+    return ranked(distinct, ["id"], "index").select("index", "id")
 
 
 def encode_edges(edges: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

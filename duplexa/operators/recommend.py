@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_likelihood
+from ..sources.staging import staged
 from .encode import ranked
-from .project import project
+from .project import _joined
 from .support import support_distinct, support_rows
 
 
@@ -21,17 +22,32 @@ def top_popular(edges: DataFrame, n: int = 500) -> DataFrame:
     return support_rows(edges, "item").orderBy(F.desc("support"), "item").limit(n)
 
 
-def popular_unseen(edges: DataFrame, n: int = 500) -> DataFrame:
+#: Places of the popular list that are broadcast (8 MB at most).
+LISTED = 1_000_000
+
+
+def popular_unseen(edges: DataFrame, n: int = 500, listed: int = LISTED) -> DataFrame:
     """For every user, the n most popular items outside the user's history.
 
-    A user needs the first n + (own history) places of the popular list at most, so users meet the list by place and
-    no pair beyond that is formed.
+    A user needs the first n + (own history) places of the popular list at most. Users for whom ``listed`` places are
+    enough take them from one broadcast array; others meet the list by place.
     """
     seen = edges.select("user", "item").distinct()
-    places = seen.groupBy("user").agg(F.count("*").alias("own")).select("user", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("own") + n)).alias("place"))
+    baskets = seen.groupBy("user").agg(F.collect_list("item").alias("items"))
     top = popularity(edges).select("item", F.col("rank").alias("place"))
+    longest = (baskets.agg(F.max(F.size("items"))).first()[0] or 0) + n
+    first = top.where(F.col("place") <= min(longest, listed))
+    array = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("top"))
+    few = baskets.where(F.size("items") + n <= listed).crossJoin(F.broadcast(array))
+    fresh = F.slice(F.array_except(F.slice("top", F.lit(1), F.size("items") + n), "items"), 1, n)
+    out = few.select("user", F.posexplode(fresh).alias("rank", "item")).select("user", "item", (F.col("rank") + 1).alias("rank"))
+    if longest <= listed:
+        return out
+    heavy = baskets.where(F.size("items") + n > listed).select("user", F.size("items").alias("own"))
+    places = heavy.select("user", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("own").cast("bigint") + n)).alias("place"))
     unseen = places.join(top, "place").join(seen, ["user", "item"], "left_anti")
-    return unseen.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("place"))).where(F.col("rank") <= n).select("user", "item", "rank")
+    rest = unseen.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("place"))).where(F.col("rank") <= n)
+    return out.unionByName(rest.select("user", "item", "rank"))
 
 
 def with_fallback(users: DataFrame, recs: DataFrame, popular: DataFrame) -> DataFrame:
@@ -45,12 +61,10 @@ def with_fallback(users: DataFrame, recs: DataFrame, popular: DataFrame) -> Data
 def llr_similarity(edges: DataFrame, min_support: int = 1) -> DataFrame:
     """(p1, p2, support, llr, similarity) of item pairs by log-likelihood over boolean preferences."""
     e = edges.select("user", "item").distinct()
-    pairs = project(e, min_support)
-    degree = support_distinct(e)
     total = e.agg(F.count_distinct("user").alias("total"))
-    one = degree.select(F.col("item").alias("p1"), F.col("support").alias("d1"))
-    two = degree.select(F.col("item").alias("p2"), F.col("support").alias("d2"))
-    rows = pairs.join(one, "p1").join(two, "p2").crossJoin(F.broadcast(total))
+    e = staged(e.join(support_distinct(e), "item").where(F.col("support") >= min_support), "edges")  # degrees go with the edges through the self-join
+    pairs = _joined(e, more={"d1": F.col("a.support"), "d2": F.col("b.support")}).where(F.col("support") >= min_support)
+    rows = pairs.crossJoin(F.broadcast(total))
     llr = log_likelihood(F.col("support"), F.col("d1"), F.col("d2"), F.col("total"))
     return rows.withColumn("llr", llr).select("p1", "p2", "support", "llr", (1 - 1 / (1 + F.col("llr"))).alias("similarity"))
 
@@ -123,8 +137,14 @@ def als(ratings: DataFrame, rank: int = 20, reg: float = 0.1, iterations: int =
 
 
 def als_top(model, ratings: DataFrame, n: int = 500) -> DataFrame:
-    """The n best unseen items of every user."""
+    """The n best unseen items of every user. Users are taken by the length of their history, doubling, so a long one lengthens few lists."""
     seen = ratings.select("user", "item").distinct()
-    most = seen.groupBy("user").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    recs = model.recommendForAllUsers(n + most).select("user", F.inline("recommendations")).select("user", "item", F.col("rating").alias("score"))
+    users = seen.groupBy("user").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("size"))
+    recs = None
+    for r in users.select("size").distinct().orderBy("size").collect():  # at most one row for each power of two
+        some = model.recommendForUserSubset(users.where(F.col("size") == r["size"]).select("user"), n + (1 << r["size"]))
+        some = some.select("user", F.inline("recommendations")).select("user", "item", F.col("rating").alias("score"))
+        recs = some if recs is None else recs.unionByName(some)
+    if recs is None:
+        recs = ratings.sparkSession.createDataFrame([], "user int, item int, score float")
     return _top(recs.select(F.col("user").cast("bigint").alias("user"), F.col("item").cast("bigint").alias("item"), "score"), seen, n)

@@ -6,13 +6,17 @@ values are rounded alike on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions import range_group_of
 from ..operators import baskets as B
 from ..operators import encode, evaluate, links, recommend, support, udf
 from ..operators.project import project
+from ..sources.staging import stage_path, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,9 +92,9 @@ def project_items_unfiltered(spark, d):
     return project(raw_edges(spark, d), 3, prefilter=False)
 
 
-@query(f"WITH {_RAW}, f AS (SELECT i FROM raw GROUP BY i HAVING count(*) >= 30), k AS (SELECT * FROM raw WHERE i IN (SELECT i FROM f)) SELECT a.i AS p1, b.i AS p2, count(*) AS support FROM k a JOIN k b ON a.u = b.u AND a.i < b.i GROUP BY ALL HAVING count(*) >= 30")
+@query(f"WITH {_RAW}, f AS (SELECT i FROM raw GROUP BY i HAVING count(*) >= 4), k AS (SELECT * FROM raw WHERE i IN (SELECT i FROM f)) SELECT a.i AS p1, b.i AS p2, count(*) AS support FROM k a JOIN k b ON a.u = b.u AND a.i < b.i GROUP BY ALL HAVING count(*) >= 4")
 def project_items_bag_prefilter(spark, d):
-    return project(raw_edges(spark, d), 30, semantics="bag", prefilter=True)
+    return project(raw_edges(spark, d), 4, semantics="bag", prefilter=True)
 
 
 @query(f"WITH {_OP} SELECT a.u AS p1, b.u AS p2, count(*) AS support FROM e a JOIN e b ON a.i = b.i AND a.u < b.u GROUP BY ALL HAVING count(*) >= 2")
@@ -152,6 +156,13 @@ def adjacency_size(spark, d):
     return links.adjacency(project(raw_edges(spark, d), 3)).select("item", F.size("adj").alias("n"))
 
 
+@query(f"WITH {_E}, {_PAIRS}, s AS (SELECT * FROM pair WHERE support >= 4) SELECT item, string_agg(concat(other, ':', support), ' ' ORDER BY other) AS adj FROM (SELECT p1 AS item, p2 AS other, support FROM s UNION ALL SELECT p2, p1, support FROM s) GROUP BY item")
+def adjacency_lists(spark, d):
+    """The neighbours of each item in their order."""
+    adj = links.adjacency(project(raw_edges(spark, d), 4))
+    return adj.select("item", F.array_join(F.transform("adj", lambda x: F.concat(x["other"].cast("string"), F.lit(":"), x["support"].cast("string"))), " ").alias("adj"))
+
+
 @query(f"WITH {_E}, {_PAIRS}, s AS (SELECT * FROM pair WHERE support >= 3) SELECT concat_ws(chr(9), item, other, support) AS value FROM (SELECT p1 AS item, p2 AS other, support FROM s UNION ALL SELECT p2, p1, support FROM s)")
 def link_lines(spark, d):
     return sources.link_text(links.adjacency(project(raw_edges(spark, d), 3)))
@@ -159,8 +170,13 @@ def link_lines(spark, d):
 
 @query(_SET2)
 def hive_ctas_projection(spark, d):
-    raw_edges(spark, d).distinct().createOrReplaceTempView("duplexa_edges")
-    return spark.sql("SELECT a.item AS p1, b.item AS p2, count(*) AS support FROM duplexa_edges a JOIN duplexa_edges b ON a.user = b.user WHERE a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 2")
+    """A delimited table made from an external one by a query, and read."""
+    raw, made = stage_path(spark, "raw"), f"duplexa_links_{uuid.uuid4().hex}"
+    name = f"duplexa_raw_{uuid.uuid4().hex}"
+    sources.write_tsv(raw_edges(spark, d).distinct().select("user", "item", F.lit(1).alias("cnt")), raw)
+    sources.external_table(spark, name, raw)
+    pairs = spark.sql(f"SELECT a.item AS p1, b.item AS p2, count(*) AS support FROM {name} a JOIN {name} b ON a.user = b.user WHERE a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 2")
+    return sources.write_table(pairs, made, path=stage_path(spark, "links"))
 
 
 # support and statistics
@@ -229,9 +245,22 @@ _RANKED = f"""{_E}, g AS (SELECT i, count(*) AS c FROM e GROUP BY i HAVING count
     o AS (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY c DESC, i DESC) AS pos FROM e JOIN g USING (i))"""
 
 
-@query(f"WITH {_RANKED} SELECT u AS \"user\", i % 4 AS grp, max(pos)::INTEGER AS prefix_len FROM o GROUP BY u, i % 4")
+@query(f"WITH {_RANKED}, p AS (SELECT u, i % 4 AS grp, max(pos) AS n FROM o GROUP BY u, i % 4) SELECT p.u AS \"user\", grp, string_agg(i::VARCHAR, ' ' ORDER BY pos) AS prefix FROM p JOIN o ON o.u = p.u AND pos <= n GROUP BY p.u, grp")
 def group_dependent_transactions(spark, d):
-    return B.group_dependent(raw_edges(spark, d), 25, 4).select("user", "grp", F.size("prefix").alias("prefix_len"))
+    return B.group_dependent(raw_edges(spark, d), 25, 4).select("user", "grp", F.array_join(F.transform("prefix", lambda x: x.cast("string")), " ").alias("prefix"))
+
+
+@query(f"WITH {_RANKED} SELECT u AS \"user\", string_agg(i::VARCHAR, ' ' ORDER BY pos) AS items FROM o GROUP BY u")
+def ranked_baskets(spark, d):
+    return B.ranked_baskets(raw_edges(spark, d), 25).select("user", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
+
+
+@query("SELECT o_custkey AS \"user\", string_agg(l_partkey::VARCHAR, ' ' ORDER BY o_orderkey * 8 + l_linenumber, l_partkey) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def listed_items(spark, d):
+    """Every user's items in the order of order and line, repeats kept."""
+    o, l = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    rows = o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), (F.col("o_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    return B.listed(rows, "at").select("user", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
 
 
 @query(f"WITH {_RANKED}, p AS (SELECT u, i % 4 AS grp, max(pos) AS n FROM o GROUP BY u, i % 4) SELECT count(*) AS n, round(avg(n), 6) AS mean_length FROM p")
@@ -261,11 +290,13 @@ def numbered_items(spark, d):
     return encode.numbered(named_edges(spark, d), "item")
 
 
-@query(f"WITH {_RAW}, us AS (SELECT c_custkey AS u, c_custkey + 1 AS n FROM customer WHERE c_custkey % 3 = 0), it AS (SELECT p_partkey AS i, p_partkey + 1 AS n FROM part WHERE p_partkey % 2 = 0) SELECT us.n AS \"user\", it.n AS item FROM raw JOIN us USING (u) JOIN it USING (i)")
+@query(f"WITH {_RAW}, us AS (SELECT c_custkey AS u, c_custkey + 1 AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), it AS (SELECT p_partkey AS i, p_partkey + 1 AS n FROM part WHERE p_size <= 25) SELECT us.n AS \"user\", it.n AS item, l_linenumber AS cnt FROM (SELECT o_custkey AS u, l_partkey AS i, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey) r JOIN us USING (u) JOIN it USING (i)")
 def known_id_filter(spark, d):
-    users = _table(spark, d, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1).alias("index"), F.col("c_custkey").alias("id"))
-    items = _table(spark, d, "part").where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1).alias("index"), F.col("p_partkey").alias("id"))
-    return encode.encode_edges(raw_edges(spark, d), users, items)
+    users = _table(spark, d, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select((F.col("c_custkey") + 1).alias("index"), F.col("c_custkey").alias("id"))
+    items = _table(spark, d, "part").where("p_size <= 25").select((F.col("p_partkey") + 1).alias("index"), F.col("p_partkey").alias("id"))
+    o, l = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    counted = o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("cnt"))
+    return encode.encode_edges(counted, users, items)
 
 
 @query("SELECT DISTINCT o_custkey::VARCHAR AS \"user\", l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
@@ -292,6 +323,139 @@ def boolean_preferences(spark, d):
     return sources.boolean_preferences(raw_edges(spark, d))
 
 
+# files, written and read back
+
+
+def _stored(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Delimited files of some rows."""
+    path = stage_path(spark, name)
+    sources.write_tsv(rows, path)
+    return path
+
+
+def _texts(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    path = stage_path(spark, name)
+    rows.write.text(path)
+    return path
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    o, l = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("cnt"))
+
+
+_TRIPLES = 'SELECT o_custkey AS "user", l_partkey AS item, l_linenumber AS cnt FROM orders JOIN lineitem ON o_orderkey = l_orderkey'
+
+
+@query(_TRIPLES)
+def tsv_triples(spark, d):
+    return sources.triples(spark, _stored(spark, _lines(spark, d), "triples"))
+
+
+@query("SELECT l_partkey AS \"user\", o_custkey AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def tsv_edges_swapped(spark, d):
+    return sources.edges(spark, _stored(spark, _lines(spark, d), "triples"), user_space=True)
+
+
+@query("SELECT c_name AS \"user\", p_name AS item FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey")
+def tsv_string_edges(spark, d):
+    return sources.string_edges(spark, _stored(spark, named_edges(spark, d), "named"))
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS \"user\", l_partkey::VARCHAR AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def fixed_width_file(spark, d):
+    line = F.concat(F.rpad(F.col("user").cast("string"), 29, " "), F.rpad(F.col("item").cast("string"), 15, " "))
+    return sources.fixed_width(sources.lines(spark, _texts(spark, raw_edges(spark, d).select(line), "lines")))
+
+
+@query(_TRIPLES)
+def external_table(spark, d):
+    return sources.external_table(spark, f"duplexa_ext_{uuid.uuid4().hex}", _stored(spark, _lines(spark, d), "external"))
+
+
+@query(f"WITH {_RATED} SELECT u AS \"user\", i AS item, CASE WHEN x > 25 THEN x ELSE 1.0 END AS rating FROM r")
+def preference_file(spark, d):
+    """Ratings at or below 25 are left out of the file and read as 1."""
+    rated = ratings(spark, d).select("user", "item", F.when(F.col("rating") > 25, F.col("rating")).alias("rating"))
+    path = stage_path(spark, "preferences")
+    rated.write.csv(path)
+    return sources.preferences(spark, path)
+
+
+@query(f"WITH {_E} SELECT u AS \"user\", string_agg(i::VARCHAR, ' ' ORDER BY i) AS items FROM e GROUP BY u")
+def stored_baskets(spark, d):
+    path = stage_path(spark, "baskets")
+    B.baskets(raw_edges(spark, d)).write.parquet(path)
+    return sources.baskets(spark, path).select("user", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
+
+
+@query(f"WITH {_RAW} SELECT i AS item, count(*) AS support FROM raw GROUP BY i HAVING count(*) >= 30")
+def stored_frequent(spark, d):
+    """Stored counts, read with their threshold."""
+    path = stage_path(spark, "counts")
+    support.support_rows(raw_edges(spark, d)).write.parquet(path)
+    return sources.stored_counts(spark, path, 30)
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_mktsegment AS val FROM customer")
+def dictionary_file(spark, d):
+    rows = _table(spark, d, "customer").select(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit("   "), F.col("c_mktsegment")))
+    return sources.dictionary(sources.lines(spark, _texts(spark, rows, "dictionary")))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey::VARCHAR AS value FROM orders")
+def ordered_list_file(spark, d):
+    rows = _table(spark, d, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string"))
+    return sources.ordered_list(spark, _texts(spark, rows, "ordered"))
+
+
+@query(f"WITH {_E}, {_PAIRS} SELECT concat_ws(chr(9), p1, p2, support) AS value FROM pair WHERE support >= 4")
+def link_files(spark, d):
+    """Links as lines of files that were there before and are replaced."""
+    path = stage_path(spark, "links")
+    for least in (5, 4):
+        sources.write_tsv(project(raw_edges(spark, d), least), path)
+    return sources.lines(spark, path)
+
+
+@query(f"WITH {_E}, {_PAIRS} SELECT * FROM pair WHERE support >= 4")
+def staged_links(spark, d):
+    return staged(project(raw_edges(spark, d), 4), "links")
+
+
+@query("WITH raw AS (SELECT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey), l AS (SELECT u, string_agg(i::VARCHAR, ' ' ORDER BY i) AS items FROM (SELECT DISTINCT u, i FROM raw) GROUP BY u) SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, coalesce(items, '') AS value FROM customer LEFT JOIN l ON u = c_custkey")
+def submission_file(spark, d):
+    """Lists in the order of the customers, empty lines for those without one."""
+    users = _table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("user"))
+    path = stage_path(spark, "submission")
+    sources.write_submission(B.baskets(raw_edges(spark, d)), users, path)
+    return sources.ordered_list(spark, path)
+
+
+@query(f"WITH {_E} SELECT u AS \"user\", i AS item FROM e")
+def recommendation_file(spark, d):
+    text = sources.recommendation_text(B.baskets(raw_edges(spark, d)))
+    return sources.recommendations(sources.lines(spark, _texts(spark, text, "recommendations"))).select("user", F.explode("items").alias("item"))
+
+
+@query(f"WITH {_E}, t AS (SELECT i, count(*) AS c FROM e GROUP BY i), top AS (SELECT i, row_number() OVER (ORDER BY c DESC, i) AS r FROM t QUALIFY r <= 100), us AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS pos, count(*) AS n FROM e GROUP BY u), h AS (SELECT u, r, row_number() OVER (PARTITION BY u ORDER BY r) AS hits FROM e JOIN top USING (i)) SELECT pos AS \"user\", round(coalesce(sum(hits / r::DOUBLE), 0) / least(any_value(n), 100), 9) AS ap FROM us LEFT JOIN h USING (u) GROUP BY pos")
+def aligned_files(spark, d):
+    """Average precision of two files matched by line."""
+    e = raw_edges(spark, d)
+    truth = B.baskets(e).orderBy("user")
+    top = support.support_distinct(e).orderBy(F.desc("support"), "item").limit(100).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "item"))), lambda x: x["item"]).alias("items"))
+    text = lambda df: df.select(F.array_join(F.transform("items", lambda x: x.cast("string")), " "))
+    actual = _texts(spark, text(truth), "actual")
+    predicted = _texts(spark, text(truth.select("user").crossJoin(F.broadcast(top)).orderBy("user")), "predicted")
+    both = sources.aligned_lists(spark, predicted, actual)
+    return evaluate.map_at_k(both.select("user", F.col("actual").alias("items")), both.select("user", F.col("predicted").alias("items")), 100).select("user", F.round("ap", 9).alias("ap"))
+
+
+@query("SELECT DISTINCT l_partkey AS item, l_partkey // 100 AS grp FROM lineitem")
+def range_groups(spark, d):
+    return _table(spark, d, "lineitem").select(F.col("l_partkey").alias("item")).distinct().withColumn("grp", range_group_of("item", 100))
+
+
 # popularity and recommendation files
 
 _POP = f"{_RAW}, pop AS (SELECT i, count(*) AS support, row_number() OVER (ORDER BY count(*) DESC, i) AS rank FROM raw GROUP BY i)"
@@ -308,15 +472,16 @@ def popularity_topk(spark, d):
 
 
 
-@query(f"WITH {_POP}, us AS (SELECT DISTINCT u FROM raw), un AS (SELECT us.u, pop.i, row_number() OVER (PARTITION BY us.u ORDER BY pop.rank) AS rank FROM us CROSS JOIN pop LEFT JOIN (SELECT DISTINCT u, i FROM raw) s ON s.u = us.u AND s.i = pop.i WHERE s.u IS NULL) SELECT u AS \"user\", i AS item, rank::INTEGER AS rank FROM un WHERE rank <= 20")
+@query(f"WITH {_POP}, us AS (SELECT DISTINCT u FROM raw), un AS (SELECT us.u, pop.i, row_number() OVER (PARTITION BY us.u ORDER BY pop.rank) AS rank FROM us CROSS JOIN pop LEFT JOIN (SELECT DISTINCT u, i FROM raw) s ON s.u = us.u AND s.i = pop.i WHERE s.u IS NULL) SELECT u AS \"user\", i AS item, rank::INTEGER AS rank FROM un WHERE rank <= 500")
 def popularity_unseen(spark, d):
-    return recommend.popular_unseen(raw_edges(spark, d), 20)
+    return recommend.popular_unseen(raw_edges(spark, d), 500)
 
 
-@query(f"WITH {_POP}, top AS (SELECT string_agg(i::VARCHAR, ' ' ORDER BY rank) AS items FROM pop WHERE rank <= 10), own AS (SELECT u, string_agg(DISTINCT i::VARCHAR, ' ' ORDER BY i::VARCHAR) AS items FROM raw WHERE i % 50 = 0 GROUP BY u) SELECT c_custkey AS \"user\", coalesce(own.items, top.items) AS items, own.items IS NULL AS fallback FROM customer LEFT JOIN own ON own.u = c_custkey, top")
+@query(f"WITH {_POP}, top AS (SELECT string_agg(i::VARCHAR, ' ' ORDER BY rank) AS items FROM pop WHERE rank <= 10), own AS (SELECT u, string_agg(DISTINCT i::VARCHAR, ' ' ORDER BY i::VARCHAR) AS items FROM raw JOIN part ON p_partkey = i WHERE p_size = 1 GROUP BY u) SELECT c_custkey AS \"user\", coalesce(own.items, top.items) AS items, own.items IS NULL AS fallback FROM customer LEFT JOIN own ON own.u = c_custkey, top")
 def recs_fallback(spark, d):
     e = raw_edges(spark, d)
-    own = e.where("item % 50 = 0").groupBy("user").agg(F.transform(F.array_sort(F.collect_set(F.col("item").cast("string"))), lambda x: x.cast("bigint")).alias("items"))
+    small = _table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("item"))
+    own = e.join(small, "item").groupBy("user").agg(F.transform(F.array_sort(F.collect_set(F.col("item").cast("string"))), lambda x: x.cast("bigint")).alias("items"))
     out = recommend.with_fallback(_table(spark, d, "customer").select(F.col("c_custkey").alias("user")), own, recommend.top_popular(e, 10))
     return out.select("user", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "fallback")
 
@@ -362,40 +527,51 @@ def counter_udaf(spark, d):
 
 @query("SELECT DISTINCT l_partkey AS item, l_partkey % 7 AS grp FROM lineitem")
 def typed_udf(spark, d):
-    udf.register(spark, "duplexa_group", lambda x, g: x % g, "bigint")
+    udf.register(spark, "duplexa_group", lambda x, g: x % g, ["bigint", "bigint"], "bigint")
     return _table(spark, d, "lineitem").select(F.col("l_partkey").alias("item")).distinct().withColumn("grp", F.expr("duplexa_group(item, 7L)"))
 
 
+@query("SELECT l_partkey AS item, count(*) AS support FROM lineitem GROUP BY l_partkey")
+def user_map_reduce(spark, d):
+    """Counting by user code: a mapper, a combiner and a reducer."""
+    rows = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"))
+    return udf.map_reduce(rows, lambda r: [(r["item"], 1)], "item bigint, one bigint", lambda k, v: [(k, sum(v))], "item bigint, support bigint", combine=True)
+
+
 # similarities and neighbourhoods
 
-_SIM = f"""{_E}, {_PAIRS}, g AS (SELECT i, count(*) AS c FROM e GROUP BY i), t AS (SELECT count(DISTINCT u) AS n FROM e),
-    k AS (SELECT p1, p2, support, support AS k11, b.c - support AS k12, a.c - support AS k21, n - a.c - b.c + support AS k22 FROM pair JOIN g a ON a.i = p1 JOIN g b ON b.i = p2, t WHERE support >= 2),
+def _similar(least: int) -> str:
+    return f"""{_E}, {_PAIRS}, g AS (SELECT i, count(*) AS c FROM e GROUP BY i), t AS (SELECT count(DISTINCT u) AS n FROM e),
+    k AS (SELECT p1, p2, support, support AS k11, b.c - support AS k12, a.c - support AS k21, n - a.c - b.c + support AS k22 FROM pair JOIN g a ON a.i = p1 JOIN g b ON b.i = p2, t WHERE support >= {least}),
     llr AS (SELECT p1, p2, support, {_llr_sql()} AS llr FROM k), sim AS (SELECT p1, p2, support, llr, 1 - 1 / (1 + llr) AS s FROM llr),
     both_ways AS (SELECT p1 AS x, p2 AS y, s FROM sim UNION ALL SELECT p2, p1, s FROM sim)"""
 
 
-@query(f"WITH {_SIM} SELECT p1, p2, support, round(llr, 6) AS llr, round(s, 6) AS similarity FROM sim")
+_SIM = _similar(1)
+
+
+@query(f"WITH {_similar(2)} SELECT p1, p2, support, round(llr, 6) AS llr, round(s, 6) AS similarity FROM sim")
 def llr_item_similarity(spark, d):
     return recommend.llr_similarity(raw_edges(spark, d), 2).withColumns({"llr": F.round("llr", 6), "similarity": F.round("similarity", 6)})
 
 
-@query(f"WITH {_SIM}, sc AS (SELECT e.u, y AS i, round(sum(s), 6) AS score FROM e JOIN both_ways ON e.i = x GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = sc.u AND e.i = sc.i)) SELECT u AS \"user\", score FROM r WHERE rank <= 10")
+@query(f"WITH {_SIM}, sc AS (SELECT e.u, y AS i, round(sum(s), 6) AS score FROM e JOIN both_ways ON e.i = x GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = sc.u AND e.i = sc.i)) SELECT u AS \"user\", i AS item, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def llr_item_recommend(spark, d):
-    return recommend.item_based(raw_edges(spark, d), 10, 2).select("user", "score")
+    return recommend.item_based(raw_edges(spark, d), 10, 1)
 
 
 _USIM = _SIM.replace("e AS (SELECT DISTINCT u, i FROM raw)", "e AS (SELECT DISTINCT i AS u, u AS i FROM raw)")
 _NEAR = "near AS (SELECT x, y, s, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM both_ways QUALIFY place <= 20)"
 
 
-@query(f"WITH {_USIM}, {_NEAR} SELECT x, place::INTEGER AS place, round(s, 6) AS similarity FROM near")
+@query(f"WITH {_USIM}, {_NEAR} SELECT x, y, place::INTEGER AS place, round(s, 6) AS similarity FROM near")
 def llr_user_neighbourhood(spark, d):
-    return recommend.user_neighbours(raw_edges(spark, d), 20, 2).select("x", "place", F.round("similarity", 6).alias("similarity"))
+    return recommend.user_neighbours(raw_edges(spark, d), 20, 1).select("x", "y", "place", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {_USIM}, {_NEAR}, sc AS (SELECT x AS u, e.u AS i, round(sum(s), 6) AS score FROM near JOIN e ON e.i = y GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.i = sc.u AND e.u = sc.i)) SELECT u AS \"user\", score FROM r WHERE rank <= 10")
+@query(f"WITH {_USIM}, {_NEAR}, sc AS (SELECT x AS u, e.u AS i, round(sum(s), 6) AS score FROM near JOIN e ON e.i = y GROUP BY ALL), r AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.i = sc.u AND e.u = sc.i)) SELECT u AS \"user\", i AS item, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def llr_user_recommend(spark, d):
-    return recommend.user_based(raw_edges(spark, d), 10, 20, 2).select("user", "score")
+    return recommend.user_based(raw_edges(spark, d), 10, 20, 1)
 
 
 _PEARSON = f"""{_RATED}, p AS (SELECT a.u AS u1, b.u AS u2, count(*) AS common, corr(a.x, b.x) AS s, var_pop(a.x) AS va, var_pop(b.x) AS vb FROM r a JOIN r b ON a.i = b.i AND a.u < b.u GROUP BY ALL HAVING count(*) >= 3),
@@ -407,22 +583,22 @@ def pearson_user_similarity(spark, d):
     return recommend.pearson(ratings(spark, d), 3).withColumn("similarity", F.round("similarity", 5) + F.lit(0.0))
 
 
-@query(f"WITH {_PEARSON}, w AS (SELECT u1 AS x, u2 AS y, s FROM q UNION ALL SELECT u2, u1, s FROM q), near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM w QUALIFY place <= 100), sc AS (SELECT near.x AS u, r.i, round(sum(s * r.x) / sum(s), 6) AS score FROM near JOIN r ON r.u = y WHERE round(s, 9) > 0 GROUP BY ALL), f AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = sc.u AND r.i = sc.i)) SELECT u AS \"user\", score FROM f WHERE rank <= 20")
+@query(f"WITH {_PEARSON}, w AS (SELECT u1 AS x, u2 AS y, s FROM q UNION ALL SELECT u2, u1, s FROM q), near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) AS place FROM w QUALIFY place <= 100), sc AS (SELECT near.x AS u, r.i, round(sum(s * r.x) / sum(s), 6) AS score FROM near JOIN r ON r.u = y WHERE round(s, 9) > 0 GROUP BY ALL), f AS (SELECT sc.*, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) AS rank FROM sc WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = sc.u AND r.i = sc.i)) SELECT u AS \"user\", i AS item, score, rank::INTEGER AS rank FROM f WHERE rank <= 20")
 def pearson_recommend(spark, d):
-    return recommend.pearson_based(ratings(spark, d), 20, 100, 3).select("user", "score")
+    return recommend.pearson_based(ratings(spark, d), 20, 100, 3)
 
 
 # evaluation
 
-_TOP = f"{_POP}, top AS (SELECT i, rank FROM pop WHERE rank <= 100)"
+_TOP = f"{_POP}, top AS (SELECT i, rank FROM pop WHERE rank <= 500)"
 
 
-@query(f"WITH {_TOP}, a AS (SELECT u, count(DISTINCT i) AS n FROM raw GROUP BY u), h AS (SELECT u, rank, row_number() OVER (PARTITION BY u ORDER BY rank) AS hits FROM (SELECT DISTINCT u, i FROM raw) JOIN top USING (i)), s AS (SELECT u, sum(hits / rank::DOUBLE) AS s FROM h GROUP BY u) SELECT round(avg(coalesce(s, 0) / least(n, 100)), 9) AS map FROM a LEFT JOIN s USING (u)")
+@query(f"WITH {_TOP}, a AS (SELECT u, count(DISTINCT i) AS n FROM raw GROUP BY u), h AS (SELECT u, rank, row_number() OVER (PARTITION BY u ORDER BY rank) AS hits FROM (SELECT DISTINCT u, i FROM raw) JOIN top USING (i)), s AS (SELECT u, sum(hits / rank::DOUBLE) AS s FROM h GROUP BY u) SELECT round(avg(coalesce(s, 0) / least(n, 500)), 9) AS map FROM a LEFT JOIN s USING (u)")
 def map_at_k(spark, d):
     e = raw_edges(spark, d)
     truth = B.baskets(e)
-    top = recommend.top_popular(e, 100).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "item"))), lambda x: x["item"]).alias("items"))
-    return evaluate.mean_ap(truth, truth.select("user").crossJoin(F.broadcast(top)), 100).select(F.round("map", 9).alias("map"))
+    top = recommend.top_popular(e, 500).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "item"))), lambda x: x["item"]).alias("items"))
+    return evaluate.mean_ap(truth, truth.select("user").crossJoin(F.broadcast(top)), 500).select(F.round("map", 9).alias("map"))
 
 
 @query(f"WITH {_E}, test AS (SELECT u, i FROM e WHERE (u * 31 + i * 17) % 10 >= 7), train AS (SELECT u, i FROM e WHERE (u * 31 + i * 17) % 10 < 7), pop AS (SELECT i, row_number() OVER (ORDER BY count(*) DESC, i) AS r FROM train GROUP BY i), us AS (SELECT DISTINCT u FROM train), un AS (SELECT us.u, pop.i, row_number() OVER (PARTITION BY us.u ORDER BY r) AS rank FROM us CROSS JOIN pop LEFT JOIN train t ON t.u = us.u AND t.i = pop.i WHERE t.u IS NULL QUALIFY rank <= 10), w AS (SELECT u, count(*) AS wanted FROM test GROUP BY u), h AS (SELECT un.u, count(*) AS given, count(test.u) AS hits FROM un LEFT JOIN test USING (u, i) GROUP BY un.u), m AS (SELECT count(*) AS users, avg(CASE WHEN given > 0 THEN hits / given::DOUBLE END) AS p, avg(coalesce(hits, 0) / wanted::DOUBLE) AS r FROM w LEFT JOIN h USING (u)) SELECT users, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM m")
@@ -437,19 +613,30 @@ def precision_recall_at_10(spark, d):
 @query()
 def als_implicit_topn(spark, d):
     r = ratings(spark, d)
-    return recommend.als_top(recommend.als(r, rank=8, reg=0.1, iterations=3, implicit=True), r, 20)
+    return recommend.als_top(recommend.als(r, implicit=True), r, 500)
 
 
 @query()
 def als_explicit_topn(spark, d):
     r = ratings(spark, d)
-    return recommend.als_top(recommend.als(r, rank=8, reg=0.1, iterations=3), r, 20)
+    return recommend.als_top(recommend.als(r), r, 500)
 
 
 @query()
 def als_rmse(spark, d):
     train, test = evaluate.hold_out(ratings(spark, d), 0.7, 0.5)
-    return evaluate.errors(recommend.als(train, rank=8, iterations=3).transform(test))
+    return evaluate.errors(recommend.als(train).transform(test))
+
+
+_HELD = f"{_RATED}, m AS (SELECT i, avg(x) AS p FROM r WHERE (u * 31 + i * 17) % 10 < 7 GROUP BY i), j AS (SELECT x, p, u, i FROM r JOIN m USING (i) WHERE (u * 31 + i * 17) % 10 >= 7)"
+
+
+@query(f"WITH {_HELD} SELECT count(*) AS n, round(sqrt(avg((p - x) * (p - x))), 6) AS rmse, round(avg(abs(p - x)), 6) AS mae FROM j")
+def prediction_errors(spark, d):
+    """Errors of fixed predictions: each item's mean rating in the training part."""
+    r, part = ratings(spark, d), (F.col("user") * 31 + F.col("item") * 17) % 10
+    means = r.where(part < 7).groupBy("item").agg(F.avg("rating").alias("prediction"))
+    return evaluate.errors(r.where(part >= 7).join(means, "item")).select("n", F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
 
 
 # extension
@@ -458,8 +645,6 @@ def als_rmse(spark, d):
 @query("SELECT event_type, count(*) AS support FROM events GROUP BY event_type")
 def streaming_support(spark, d):
     """The running support of a stream over events, after all of it."""
-    import uuid
-
     from ..streaming import running_support
 
     name = f"support_{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import alphabet_position, sub_string, to_long
 
@@ -44,8 +45,7 @@ def fixed_width(rows: DataFrame, column: str = "value", user: tuple[int, int] =
 
 def external_table(spark: SparkSession, name: str, path: str, schema: str = TRIPLE, sep: str = "\t") -> DataFrame:
     """A table over delimited files where they lie."""
-    spark.sql(f"CREATE TABLE {name} ({schema}) USING csv OPTIONS (sep '{sep}') LOCATION '{path}'")
-    return spark.table(name)
+    return spark.catalog.createTable(name, path=path, source="csv", schema=T.StructType.fromDDL(schema), sep=sep)
 
 
 def preferences(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -76,8 +76,23 @@ def dictionary(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def ordered_list(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): the lines of one file with their number, from 0. One file is one split in this order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("pos", "value"))
+    """(pos, value): the lines of files with their number, from 0, in the order of names and places; read in splits."""
+    from ..operators.encode import ranked
+
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    rows = spark.read.text(path).select("value", *at)  # lines of a split are numbered in their order
+    return ranked(rows, ["file", "block", "line"], "pos").select((F.col("pos") - 1).alias("pos"), "value")
+
+
+def aligned_lists(spark: SparkSession, predicted: str, actual: str) -> DataFrame:
+    """(user, predicted, actual): lists of two files, white space between items, matched by line; user is the line's number. Lists of bigint, null where a file has no such line."""
+    lists = lambda path, name: ordered_list(spark, path).select(F.col("pos").alias("user"), F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("bigint")).alias(name))
+    return lists(predicted, "predicted").join(lists(actual, "actual"), "user", "full_outer")
+
+
+def stored_counts(spark: SparkSession, path: str, min_support: int, side: str = "item") -> DataFrame:
+    """Frequent nodes of stored counts (Parquet of node and support); the threshold reaches the scan."""
+    return spark.read.schema(f"{side} BIGINT, support BIGINT").parquet(path).where(F.col("support") >= min_support)
 
 
 def recommendations(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -91,8 +106,11 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def write_table(df: DataFrame, name: str, sep: str = "\t", path: str | None = None) -> DataFrame:
+    """A table of delimited text made from a query, replaced if it is there; at ``path`` if given."""
+    writer = df.write.mode("overwrite").format("csv").option("sep", sep)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def basket_text(df: DataFrame, with_user: bool = True) -> DataFrame:
@@ -112,6 +130,6 @@ def recommendation_text(df: DataFrame) -> DataFrame:
 
 
 def write_submission(df: DataFrame, users: DataFrame, path: str) -> None:
-    """Item lists in the order of ``users`` (pos, user), one file. Users without a list get an empty line."""
+    """Item lists in the order of ``users`` (pos, user): files whose concatenation by name is the list. Users without a list get an empty line."""
     rows = users.join(df, "user", "left").select("pos", F.coalesce(F.array_join(F.transform("items", lambda x: x.cast("string")), " "), F.lit("")).alias("value"))
-    rows.orderBy("pos").select("value").coalesce(1).write.mode("overwrite").text(path)
+    rows.orderBy("pos").select("value").write.mode("overwrite").text(path)

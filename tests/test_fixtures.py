@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from duplexa import cli, sources
 from duplexa.operators import baskets as B
-from duplexa.operators import encode, evaluate, links, recommend, support
+from duplexa.operators import encode, evaluate, links, recommend, support, udf
 from duplexa.operators.project import STRATEGIES, project
 from duplexa.streaming import running_support, windowed_support
 
@@ -25,6 +25,10 @@ def pairs(df):
     return {(r["p1"], r["p2"]): r["support"] for r in df.collect()}
 
 
+def paper_rows(spark):
+    return graph(spark, [(1, 2), (3, 4)])
+
+
 def test_paper_example(paper):
     three = {(1, 3): 3, (1, 6): 3, (1, 13): 3, (3, 6): 3, (3, 13): 3, (3, 16): 3, (6, 13): 3}
     assert pairs(project(paper, 3)) == three
@@ -118,11 +122,79 @@ def test_weighted_baskets(spark):
 
 def test_ranking_over_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("id"))
-    got = sorted((r["id"], r["index"]) for r in encode.numbered(rows, "id", 8).collect())
+    got = sorted((r["id"], r["index"]) for r in encode.numbered(rows, "id").collect())
     assert [i for _, i in got] == list(range(1, 5001))
     assert encode.numbered(rows.limit(0), "id").count() == 0
 
 
+def test_heavy_users(spark):
+    """One user with many items, paired by blocks; every strategy gives the same pairs."""
+    rows = spark.range(300).selectExpr("1 as user", "id as item").unionByName(spark.range(0, 300, 2).selectExpr("2 as user", "id as item")).unionByName(spark.range(0, 300, 5).selectExpr("3 as user", "id as item"))
+    want = pairs(project(rows, 2, prefilter=False))
+    for heavy in (7, 64, 299):
+        assert pairs(project(rows, 2, heavy=heavy)) == want
+        assert pairs(project(rows, 2, strategy="rounds", heavy=heavy)) == want
+        assert project(rows, 2, symmetric=True, heavy=heavy).count() == 2 * len(want)
+    assert len(want) == 150 * 149 // 2 + 60 * 59 // 2 - 30 * 29 // 2
+
+
+def test_unseen_beyond_the_listed_places(spark, paper):
+    for listed in (1, 8, 11, 1000):
+        got = sorted(map(tuple, recommend.popular_unseen(paper, 3, listed).select("user", "item", "rank").collect()))
+        assert got == sorted(map(tuple, recommend.popular_unseen(paper, 3).select("user", "item", "rank").collect()))
+
+
+def test_frequent_pairs_of_another_algorithm(spark, paper):
+    """Pairs equal the itemsets of length two that FP-growth finds."""
+    from pyspark.ml.fpm import FPGrowth
+
+    model = FPGrowth(itemsCol="items", minSupport=2 / 5, minConfidence=0.0).fit(B.baskets(paper))
+    found = {tuple(sorted(r["items"])): r["freq"] for r in model.freqItemsets.where("size(items) = 2").collect()}
+    assert found == pairs(project(paper, 2))
+
+
+def test_typed_functions(spark):
+    rows = spark.createDataFrame([(1, 9007199254740993, "a"), (2, None, "b"), (None, 5, "c")], "x bigint, y bigint, z string")
+    add = udf.register(spark, "duplexa_add", lambda a, b: a + b, ["bigint", "bigint"], "bigint")
+    want = [9007199254740994, None, None]
+    assert [r[0] for r in rows.select(add(rows, "x", "y")).collect()] == want
+    assert [r[0] for r in rows.selectExpr("duplexa_add(x, y)").collect()] == want
+    assert rows.limit(0).select(add(rows, "x", "y")).count() == 0
+    for wrong in (lambda: add(rows, "x"), lambda: add(rows, "x", "z"), lambda: udf.TypedFunction(lambda a: a, ["bigint", "bigint"], "bigint")):
+        with pytest.raises(TypeError):
+            wrong()
+
+
+def test_map_and_reduce(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "id bigint, line string")
+    for combine in (False, True):
+        got = udf.map_reduce(rows, lambda r: [(w, 1) for w in (r["line"] or "").split()], "word string, n bigint", lambda k, v: [(k, sum(v))], "word string, n bigint", combine)
+        assert sorted(map(tuple, got.collect())) == [("a", 2), ("b", 2)]
+
+
+def test_listed_items(spark):
+    rows = spark.createDataFrame([(1, 5, 2), (1, 4, 1), (1, 5, 3), (2, 7, 1), (None, 1, 1), (2, None, 2)], "user bigint, item bigint, at bigint")
+    assert {r["user"]: r["items"] for r in B.listed(rows, "at").collect()} == {1: [4, 5, 5], 2: [7]}
+
+
+def test_lists_in_splits(spark, tmp_path):
+    """Lines of several files and splits keep their order; lists of two files meet by line."""
+    values = [f"v{i}" if i % 7 else "" for i in range(5000)]
+    for k in range(2):
+        (tmp_path / f"part-{k}").write_text("".join(f"{v}\n" for v in values[k * 2500 : (k + 1) * 2500]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [tuple(r) for r in sources.ordered_list(spark, str(tmp_path)).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(values))
+    (tmp_path / "a.txt").write_text("1 2\n\n3\n")
+    (tmp_path / "b.txt").write_text("1\n4\n")
+    both = sources.aligned_lists(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt")).orderBy("user")
+    assert [tuple(r) for r in both.collect()] == [(0, [1, 2], [1]), (1, [], [4]), (2, [3], None)]
+
+
 def test_files(spark, tmp_path):
     f = tmp_path / "edges.tsv"
     f.write_text("300\t7\t15\n22222\t1\t1\n22222\t2\t1\n1\t\t3\nx\t4\t1\n")
@@ -145,7 +217,10 @@ def test_files(spark, tmp_path):
     c = sources.comma_baskets(spark.createDataFrame([("u", "f,a,c")], "user string, items string"), alphabet="abcdefghijklmnopqrstuvwxyz")
     assert sorted(r["item"] for r in c.collect()) == [0, 2, 5]
     sources.write_submission(spark.createDataFrame([(2, [1, 2])], "user bigint, items array<bigint>"), spark.createDataFrame([(0, 9), (1, 2)], "pos bigint, user bigint"), str(tmp_path / "sub"))
-    assert (next((tmp_path / "sub").glob("part-*"))).read_text() == "\n1 2\n"
+    assert "".join(p.read_text() for p in sorted((tmp_path / "sub").glob("part-*"))) == "\n1 2\n"
+    made = sources.write_table(paper_rows(spark), "duplexa_made", path=str(tmp_path / "made"))
+    assert made.count() == 2 and "1\t2" in "".join(p.read_text() for p in (tmp_path / "made").glob("part-*"))
+    spark.sql("DROP TABLE duplexa_made")
     table = sources.external_table(spark, "duplexa_external", str(f))
     assert table.count() == 5
     spark.sql("DROP TABLE duplexa_external")
