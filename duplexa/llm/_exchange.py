@@ -106,8 +106,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``rows`` of ids, to be broadcast if they are few enough (16 MB at most); a shuffle join serves otherwise."""
+def small(rows: DataFrame, most: int = 250_000) -> DataFrame:
+    """``rows`` of ids, to be broadcast if they are few enough (about 25 MB at most); a shuffle join serves otherwise."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 

@@ -10,8 +10,9 @@ words are encoded and decoded once for a slice, not once for each time they occu
 
 The pattern, too, is applied to distinct pieces: an ASCII white space run is
 cut where the pattern cuts it whatever stands around. Texts with other white space
-are matched whole. Words of more than ``LONG`` bytes, for which rounds would be
-quadratic, are contracted in the same order by a heap.
+are matched whole. For words of more than ``LONG`` bytes a round contracts not the leftmost pair of
+least rank alone but the word's others too, from the left, up to one that makes a pair of lower rank: the same
+contractions in the same order, in fewer rounds.
 
 * Null texts count as empty: no tokens. Ids of documents play no part: null,
   equal or repeated rows are encoded alike. Empty tables give empty results.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,37 @@ WITH RECURSIVE tokens(round, w, p, t) AS (
 SELECT w, p, t FROM tokens QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, p
 """
 
+ENCODE_LONG = """
+WITH RECURSIVE tokens(round, w, p, t) AS (
+    SELECT 0, w, p, t FROM start
+    UNION ALL
+    (
+        WITH pair AS (
+            SELECT round, w, p, t, lead(t) OVER o AS n, lead(p) OVER o AS q, lag(t) OVER o AS before, lead(t, 2) OVER o AS after, row_number() OVER o AS i FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)
+        ), known AS (
+            SELECT w, p, q, i, m, before, after FROM pair JOIN merges ON l = t AND r = n
+        ), least AS (
+            SELECT w, min(m) AS k FROM known GROUP BY w
+        ), mine AS (
+            SELECT known.w, p, q, m, i, before, after, i - row_number() OVER (PARTITION BY known.w ORDER BY i) AS island FROM known JOIN least ON known.w = least.w AND m = k
+        ), apart AS (
+            SELECT * FROM mine QUALIFY row_number() OVER (PARTITION BY w, island ORDER BY i) % 2 = 1
+        ), beside AS (
+            SELECT w, p, q, m, i, after, CASE WHEN lag(i) OVER (PARTITION BY w ORDER BY i) = i - 2 THEN m ELSE before END AS before FROM apart
+        ), lower AS (
+            SELECT w, p, q, beside.m, i, coalesce(a.m < beside.m, false) OR coalesce(b.m < beside.m, false) AS lower
+            FROM beside LEFT JOIN merges a ON a.l = before AND a.r = beside.m LEFT JOIN merges b ON b.l = beside.m AND b.r = after
+        ), taken AS (
+            SELECT w, p, q, m FROM lower QUALIFY coalesce(sum(lower::INTEGER) OVER (PARTITION BY w ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
+        )
+        SELECT round + 1, pair.w, pair.p, coalesce(taken.m, pair.t)
+        FROM pair JOIN least ON pair.w = least.w LEFT JOIN taken ON taken.w = pair.w AND taken.p = pair.p
+        ANTI JOIN taken gone ON gone.w = pair.w AND gone.q = pair.p
+    )
+)
+SELECT w, p, t FROM tokens QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, p
+"""
+
 DECODE = """
 SELECT w, unhex(string_agg(piece, '' ORDER BY p)) AS bytes FROM coded JOIN vocabulary ON t = id GROUP BY w ORDER BY w
 """
@@ -120,42 +151,21 @@ class Codec:
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
-        out: list = [None] * len(words)
+        out = [np.empty(0, np.int32)] * len(words)
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
-        if short:
-            size = np.array([len(words[i]) for i in short])
-            of = np.repeat(np.arange(len(short), dtype=np.int32), size)
+        for some, query in [(short, ENCODE)] + [([i], ENCODE_LONG) for i, w in enumerate(words) if len(w) > LONG]:
+            if not some:
+                continue
+            size = np.array([len(words[i]) for i in some])
+            of = np.repeat(np.arange(len(some), dtype=np.int32), size)
             at = (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            codes = self.byte[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-            got = self._query("start", pa.table({"w": of, "p": at, "t": codes}), ENCODE)
+            codes = self.byte[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
+            got = self._query("start", pa.table({"w": of, "p": at, "t": codes}), query)
             ids = np.asarray(got.column("t"), dtype=np.int32)
-            edge = np.searchsorted(np.asarray(got.column("w")), np.arange(len(short) + 1))
-            for k, i in enumerate(short):
+            edge = np.searchsorted(np.asarray(got.column("w")), np.arange(len(some) + 1))
+            for k, i in enumerate(some):
                 out[i] = ids[edge[k] : edge[k + 1]]
-        return [self._long(w) if x is None else x for w, x in zip(words, out, strict=True)]
-
-    def _long(self, word: bytes) -> np.ndarray:
-        """The same contractions for a long word: a heap of pairs by (rank, position) over a linked list."""
-        n, rank = len(word), self.ranks
-        stop = list(range(1, n + 1))  # a token is word[i:stop[i]]
-        before = list(range(-1, n - 1))
-        heap = [(rank[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in rank]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            j = stop[i]
-            if not alive[i] or j >= n or stop[j] != end:
-                continue
-            alive[j], stop[i] = False, end
-            if end < n:
-                before[end] = i
-                if (k := rank.get(word[i : stop[end]])) is not None:
-                    heapq.heappush(heap, (k, i, stop[end]))
-            h = before[i]
-            if h >= 0 and (k := rank.get(word[h:end])) is not None:
-                heapq.heappush(heap, (k, h, end))
-        return np.array([rank[word[i : stop[i]]] for i in range(n) if alive[i]], np.int32)
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids; unknown ids raise."""

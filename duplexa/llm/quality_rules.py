@@ -12,7 +12,8 @@ conditional expression, so applying it is a projection that anyone can read.
   are ignored; if the labels hold only one class, the list is empty and only the
   base rejects. Repeated label rows count each.
 * The fit uses at most ``MOST_LABELLED`` labelled documents, those with the
-  smallest hash of their id; the rules apply to every row.
+  smallest hash of their id; the rules apply to every row. A list that people are to read has
+  at most ``most_rules`` rules of ``most_tests`` tests (24 and 3, parameters of the fit); covering usually ends before.
 * Input columns are kept unless a result column has their name.
 """
 

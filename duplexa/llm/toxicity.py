@@ -16,7 +16,8 @@ normalised by length.
   text divisible by 5) teach nothing; repeated label rows count each. Without
   both classes the lexicon is empty and every score 0.
 * The fit uses at most ``MOST_LABELLED`` labelled documents, those with the smallest hash of
-  their id, and keeps at most ``MOST_TERMS`` terms. Scores cover every row and whole texts.
+  their id, which bounds the lexicon too: every term and phrase that passes the tests is in it.
+  Scores cover every row and whole texts.
 * Input columns are kept unless a result column has their name.
 """
 
@@ -37,8 +38,8 @@ from pyspark.sql import types as T
 from . import _exchange as X
 from . import _text
 
-#: Documented bounds of the fit.
-MOST_LABELLED, MOST_TERMS, MOST_EXCEPTIONS = 20_000, 4_000, 1_000
+#: Documented bound of the labelled sample.
+MOST_LABELLED = 20_000
 PREFIXES = (3, 4, 5, 6)
 SLICE = 1 << 20
 
@@ -174,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Lexicon:
     """The lexicon of the labelled documents that are not held out."""
     spark = docs.sparkSession
     X.ship(spark)
@@ -197,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     weight = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
     chosen = counted.select("term", "toxic", g.alias("g"), weight.alias("weight")).where(f"toxic >= 3 and weight >= 2 and g >= {2 * math.log(tried) + 2}")
-    rows = chosen.orderBy(c("g").desc(), "term").limit(most_terms).collect()
+    rows = chosen.orderBy(c("g").desc(), "term").collect()
     # a beginning that is little more than one longer term says nothing about other words
     most = Counter()
     for r in rows:
@@ -207,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = set(out.terms)
     if terms:
         phrases = _counted(mine, lambda folded: _phrases(folded, terms)).where("toxic = 0 and clean >= 3")
-        out.exceptions = sorted(r["term"] for r in phrases.orderBy(c("clean").desc(), "term").limit(MOST_EXCEPTIONS).collect())
+        out.exceptions = sorted(r["term"] for r in phrases.collect())
     points = _featured(mine, out, "__text").select("__label", "weight", "n_terms", "n_words").toPandas()
     points = points.sort_values(list(points.columns), kind="stable").to_numpy(float)
     out.coefficients = tuple(float(v) for v in _logistic(_inputs(points[:, 1:]), points[:, 0]))

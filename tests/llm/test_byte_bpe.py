@@ -47,11 +47,17 @@ def test_equals_tiktoken(spark, reference):
     assert B.encode_texts(df.limit(0), PATH).count() == 0
 
 
-def test_long_words_by_either_way(monkeypatch):
+def test_long_words_by_either_query(reference, monkeypatch):
+    """Contracting all least pairs of a word in a round gives what contracting the leftmost alone gives, and what the library gives."""
     coder = B.Codec(PATH)
     r = random.Random(3)
-    words = [bytes(r.choice(b"abcde \n=") for _ in range(r.randrange(1, 100))) for _ in range(300)]
-    assert [x.tolist() for x in coder.encode(words)] == [coder._long(w).tolist() for w in words]
+    words = [bytes(r.choice(b"abcde \n=") for _ in range(r.randrange(1, 100))) for _ in range(60)] + [b"a" * 90, b"aab" * 30, "漢字".encode() * 15]
+    one = [x.tolist() for x in coder.encode(words)]
+    monkeypatch.setattr(B, "LONG", 0)
+    assert [x.tolist() for x in coder.encode(words)] == one
+    long = [("ACGT"[r.randrange(4)] for _ in range(6000)), "x" * 5000, "そして" * 900, (r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000))]
+    for w in map("".join, long):
+        assert np.concatenate([coder.encode([p.encode()])[0] for p in coder.pattern.findall(w)]).tolist() == reference.encode_ordinary(w)
 
 
 def test_cache_is_bounded():

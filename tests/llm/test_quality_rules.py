@@ -70,3 +70,23 @@ def test_query_and_edges(spark):
     both = got.merge(labels, on="doc_id")
     both = both[~both.base_failed]
     assert (both.kept == (both.quality == 1)).mean() > 0.97
+
+
+def test_verdicts_against_plain_rules(spark):
+    """The conditional expression's verdict on every document equals the rules applied one by one to plain counts."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rules = Q.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    assert rules.rules
+    got = {r["doc_id"]: r for r in Q.judge(docs, rules).collect()}
+    for i, r in got.items():
+        n = brute(r["text"]) | {k: r[k] for k in ("n_bytes", "n_upper", "n_letters", "n_digits", "n_exclaim", "n_pipes")}
+        raw = (r["text"] or "").encode()
+        assert (n["n_bytes"], n["n_exclaim"], n["n_pipes"], n["n_digits"]) == (len(raw), raw.count(b"!"), raw.count(b"|"), sum(48 <= x < 58 for x in raw))
+        first = 0
+        for k, rule in enumerate(rules.rules, 1):
+            values = [(n[Q.RATIOS[at][1]] / (n[Q.RATIOS[at][2]] or np.inf) if Q.RATIOS[at][2] else float(n[Q.RATIOS[at][1]]), sign, bound) for at, sign, bound in rule.tests]
+            if not first and all(v <= b if sign == "<=" else v > b for v, sign, b in values):
+                first = k
+        failed = n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]
+        assert (r["base_failed"], r["rule"], r["kept"]) == (failed, first, not failed and first == 0), i

@@ -58,3 +58,33 @@ def test_held_out_accuracy(spark):
     order = held.score.rank()
     n, m = len(positive), len(held) - len(positive)
     assert (order[held.toxic == 1].sum() - n * (n + 1) / 2) / (n * m) > 0.95  # area under the curve
+
+
+def plain_features(lexicon, text):
+    """Sum of weights, counted words and words by looking for every term at every place."""
+    folded = X.fold(text)
+    words = folded.split()
+    best = {}
+    for term, weight in lexicon.terms.items():
+        for at in range(len(folded)):
+            if folded.startswith(term, at) and weight > best.get(at, 0.0):
+                best[at] = weight
+    for phrase in lexicon.exceptions:
+        for at in range(len(folded)):
+            if folded.startswith(phrase, at):
+                best = {s: w for s, w in best.items() if not at <= s < at + len(phrase) - 1}
+    return sum(best.values()), len(best), len(words)
+
+
+def test_scores_against_a_plain_scan(spark):
+    """The query's rows against looking for every learned term at every place, by plain Python."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lexicon = X.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert lexicon.terms
+    for r in X.score(docs, lexicon).collect():
+        weight, hits, words = plain_features(lexicon, r["text"] or "")
+        a, b, c = lexicon.coefficients
+        logit = a * np.log1p(weight) + b * np.sqrt(weight * 100 / (words + 20)) + c
+        assert (r["n_terms"], r["n_words"]) == (hits, words) and abs(r["weight"] - weight) < 1e-9
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
