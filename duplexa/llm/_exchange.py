@@ -10,6 +10,8 @@ The number of rows is in proportion to the input at any size.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
@@ -64,6 +66,7 @@ def by_text(docs: DataFrame, text_col: str, result: T.StructType, make: Callable
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
             for part in _text.slices([batch]):
                 yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(function(part.column(0)), kinds, strict=True)], names=result.names)
+        release()
 
     arrow = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
     kinds = [arrow[f.dataType] for f in result.fields]
@@ -71,6 +74,19 @@ def by_text(docs: DataFrame, text_col: str, result: T.StructType, make: Callable
     return docs.select(*keep, found(F.col(f"`{text_col}`")).alias("__found")).select(*keep, "__found.*")
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the machine: workers outlive their tasks, and stand beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(table: pa.Table) -> pa.Table:
+    """``table``, after what was used to make it has been given back."""
+    release()
+    return table
+
+
 def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which keys are among some others."""
     if not len(some):

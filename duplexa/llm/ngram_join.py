@@ -139,6 +139,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         full = np.flatnonzero(counts.any(axis=1))
         high = [np.flatnonzero(counts[b] > 255) for b in full]
         nothing, none = pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.binary())
+        X.release()
         raw = [pa.array(x, pa.binary()) for x in ([np.minimum(counts[b], 255).astype(np.uint8).tobytes() for b in full], [h.astype(np.int32).tobytes() for h in high], [counts[b][h].tobytes() for b, h in zip(full, high, strict=True)])]
         yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, none, pa.array(full.astype(np.int32)), *raw], names=names)
 
@@ -187,6 +188,7 @@ def _index(docs: DataFrame, text_col: str, sketch, buckets: int, list_rows: int)
             salt = np.where(parts > 1, keys[doc].view(np.uint64) % parts + np.uint64(1), np.uint64(0))
             to = (_text.mix(token + salt) >> np.uint64(33)) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(token.view(np.int64)), pa.array(keys[doc]), pa.array((size[doc] << 32 | at).astype(np.int64)), pa.array(salt.astype(np.int32))], names=[BUCKET, "token", "key", "place", "salt"])
+        X.release()
 
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, f"{BUCKET} int, token long, key long, place long, salt int")
 
@@ -238,6 +240,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_
             key = np.asarray(batch.column(2))
             own = np.flatnonzero(set_keys(tokens, first) == key)  # rows with equal ids may hold other texts
             yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())], names=["key", "tokens"])
+        X.release()
 
     out = X.written(mine.mapInArrow(run, "key long, tokens binary").groupBy("key").agg(F.min("tokens").alias("tokens")), "sets")
     X.discard(texts)

@@ -32,7 +32,7 @@ SEQUENCE, CLOSING = 2048, 1
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Pieces in one packing group, about, and entries of a worker's cache of encoded words.
-GROUP_PIECES, CACHE = 50_000, 400_000
+GROUP_PIECES, CACHE = 50_000, 150_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -110,7 +110,7 @@ def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
-        for batch in _text.slices(batches, "__text", 2 << 20):
+        for batch in _text.slices(batches, "__text"):
             buf, offsets = _text.text_buffer(batch.column(1))
             ids, first = encode(buf, offsets, path)
             rows = [[], [], [], [], []]
@@ -126,6 +126,8 @@ def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(np.arange(at, at + n)), batch.column(0).take(pa.array(rows[0], pa.int64())), *[pa.array(c, pa.int64()) for c in rows[1:]], pa.array(raw, pa.binary())]
             at += n
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        _encoded.get(path, {}).clear()
+        X.release()
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]

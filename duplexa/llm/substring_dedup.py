@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out |= {"n_words": pa.array(g.count.astype(np.int64)), "n_removed": pa.array(lost), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
         if "kept_text" in give:
             out["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
-        return pa.table(out)
+        return X.released(pa.table(out))
 
     by_group, none = text.groupBy(X.GROUP), F.lit(None).cast("long")
     asked = by_group.applyInArrow(ask, f"anchor long, {X.GROUP} int, many boolean")

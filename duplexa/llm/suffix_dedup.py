@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
 
     def ask(key, table):
         _, g = group(table)
-        return pa.table({"gram": _long(g.kind_gram), "segment": _long(g.kind_key), "holder": pa.array(2 * key[0].as_py() + g.many.astype(np.int64)), ROW: _long(g.kind_row), "at": _long(g.kind_at)})
+        return X.released(pa.table({"gram": _long(g.kind_gram), "segment": _long(g.kind_key), "holder": pa.array(2 * key[0].as_py() + g.many.astype(np.int64)), ROW: _long(g.kind_row), "at": _long(g.kind_at)}))
 
     def send(key, table, back):
         _, g = group(table)
@@ -358,10 +358,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", groups: int | None =
             for c, v in zip(rows, values, strict=True):
                 rows[c].append(v)
         kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
-        return pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], kinds[f.dataType]) for f in result})
+        return X.released(pa.table({c: table.column(c) for c in keep} | {f.name: pa.array(rows[f.name], kinds[f.dataType]) for f in result}))
 
     def judge(table):
-        return _judge(table, keep_first)
+        return X.released(_judge(table, keep_first))
 
     c, by_group, of = F.col, text.groupBy(X.GROUP), Window.partitionBy("gram", "segment")
     holder = F.floor(c("holder") / 2).cast("int").alias(X.GROUP)
