@@ -38,7 +38,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._exchange import written
+from ._exchange import small, written
 
 # Short forms of public licence notices, with their SPDX names.
 TEMPLATES = {
@@ -208,9 +208,9 @@ def blocks(texts: DataFrame, weights: list[dict[str, float]], idf: dict[str, flo
     hope = weighed.join(foreign, unit).where(c("dot") / F.sqrt(c("square") + c("others") * (other * other)) >= threshold - 1e-5)
     hope = written(hope.select(*unit, "start"), "hope")
 
-    lines = _cut(texts.join(hope.select("key").distinct(), "key", "left_semi"), vocabulary)
+    lines = _cut(texts.join(small(hope.select("key").distinct()), "key", "left_semi"), vocabulary)
     lines = written(lines.select("key", "pos", "alone", "first", "n", "words"), "lines")
-    parts = parts_of(lines.join(hope.select("key", "t").distinct(), "key").join(F.broadcast(kinds), "t"), hope)
+    parts = lines.join(small(hope), "key").join(F.broadcast(kinds), "t").where("block = -1 or (start <= first and first < start + size)")
     ranges = parts.groupBy(*unit).agg(F.min("pos").alias("from"), F.max("pos").alias("to"), F.max("alone").alias("alone"))
     counted = parts.select(*unit, F.explode("words").alias("word")).groupBy(*unit, "word").agg(F.count("*").alias("n"))
     x = c("n") * F.coalesce("idf", F.lit(other))
@@ -243,7 +243,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     def table(values: dict[str, float]) -> Column:
         return F.create_map(*[x for w, v in sorted(values.items()) for x in (F.lit(w), F.lit(v))])
 
-    keep = [x for x in files.columns if x not in [*RESULT, "__lines", "__words", "__key", "rank", "lines"] and (keep_text or x != text_col)]
+    keep = [x for x in files.columns if x not in [*RESULT, "__lines", "__words", "__key", "__id", "rank", "lines"] and (keep_text or x != text_col)]
     text = F.coalesce(c(text_col), F.lit(""))
 
     def dot(weighted: Column, weights: Column) -> Column:
@@ -274,12 +274,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     n_words = F.when((F.size("__lines") > 0) | tried, F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")))
     # texts are read once for all that follows; only those that may hold more than lines are kept
     read = labelled.select(*keep, "__lines", n_words.alias("__words"), F.when(tried, F.sha2(text, 256)).alias("__key"), F.when(tried, text).alias("__text"), F.when(tried, c("__tries")).alias("__tries"), F.when(tried, c("__known")).alias("__known"))
-    read = written(read, "read")
-    texts = read.where("__key is not null").select(c("__key").alias("key"), c("__text").alias("text"), c("__tries").alias("tries"), F.transform("__lines", lambda x: x["pos"]).alias("alone"), c("__known").alias("known"))
+    read = written(read.withColumn("__id", F.monotonically_increasing_id()), "read")
+    first = read.where("__key is not null").groupBy("__key").agg(F.min("__id").alias("__id"))  # one row of each text
+    texts = read.where("__key is not null").join(small(first.select("__id")), "__id", "left_semi")
+    texts = texts.select(c("__id").alias("key"), c("__text").alias("text"), c("__tries").alias("tries"), F.transform("__lines", lambda x: x["pos"]).alias("alone"), c("__known").alias("known"))
     held = ["__lines", "__words", "__key"]
     plain = read.where("__key is null").select(*keep, *held)
     if texts.limit(1).count():
-        more = written(blocks(written(texts.dropDuplicates(["key"]), "texts"), weights, every, other, threshold).withColumnRenamed("key", "__key"), "blocks")
+        found = blocks(texts, weights, every, other, threshold).withColumnRenamed("key", "__id")
+        more = written(found.join(first, "__id").drop("__id"), "blocks")
         some = read.where("__key is not null").select(*keep, *held).join(more, "__key", "left")
         plain = plain.withColumn("rank", F.lit(None).cast(more.schema["rank"].dataType)).withColumn("lines", F.lit(None).cast(more.schema["lines"].dataType)).unionByName(some)
     else:
