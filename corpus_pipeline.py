@@ -14,13 +14,12 @@ before wrote, so a lost executor repeats part of one stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duplexa.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 from duplexa.llm import _exchange as X
+from duplexa.sources.staging import stage_path
 
 KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 COLUMNS = list(KINDS)
@@ -72,7 +71,7 @@ STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("suffix_
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{X.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = stage_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
