@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import log_likelihood
 from ..sources.staging import staged
+from . import blocks
 from .encode import ranked
 from .project import _joined
 from .support import support_distinct, support_rows
@@ -88,11 +89,8 @@ def _top(scored: DataFrame, seen: DataFrame, n: int) -> DataFrame:
 
 
 def item_based(edges: DataFrame, n: int = 10, min_support: int = 2) -> DataFrame:
-    """Unseen items by the sum of their log-likelihood similarities to the user's."""
-    seen = edges.select("user", "item").distinct()
-    similar = both_ways(llr_similarity(seen, min_support), "p1", "p2")
-    scored = seen.withColumnRenamed("item", "x").join(similar, "x").groupBy("user", F.col("y").alias("item")).agg(F.sum("similarity").alias("score"))
-    return _top(scored, seen, n)
+    """Unseen items by the sum of their log-likelihood similarities to the user's; ties by ascending item, scores to six places."""
+    return blocks.by_items(blocks.stored(edges, "item"), n, min_support)
 
 
 def user_neighbours(edges: DataFrame, neighbours: int = 20, min_support: int = 1) -> DataFrame:
