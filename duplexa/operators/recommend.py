@@ -94,9 +94,8 @@ def item_based(edges: DataFrame, n: int = 10, min_support: int = 2) -> DataFrame
 
 
 def user_neighbours(edges: DataFrame, neighbours: int = 20, min_support: int = 1) -> DataFrame:
-    """(x, y, similarity, place): nearest users by log-likelihood."""
-    swapped = edges.select(F.col("item").alias("user"), F.col("user").alias("item")).distinct()
-    return nearest(both_ways(llr_similarity(swapped, min_support), "p1", "p2"), neighbours)
+    """(x, y, similarity, place): nearest users by log-likelihood; ties by ascending y, similarity to nine places."""
+    return blocks.near(blocks.stored(edges, "user"), neighbours, min_support)
 
 
 def user_based(edges: DataFrame, n: int = 10, neighbours: int = 20, min_support: int = 1) -> DataFrame:

@@ -78,6 +78,31 @@ def test_items(spark, baskets, small, least):
     assert {(r["user"], r["rank"]): (r["item"], r["score"]) for r in got} == want
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_users(spark, baskets, small, least):
+    near = {x: sorted(ys.items(), key=lambda v: (-round(v[1], 9), v[0]))[:8] for x, ys in similarities(turned(baskets), least).items()}
+    got = recommend.user_neighbours(edges(spark, baskets), 8, least).collect()
+    assert {(r["x"], r["place"]): (r["y"], round(r["similarity"], 9)) for r in got} == {(x, k): (y, round(s, 9)) for x, ys in near.items() for k, (y, s) in enumerate(ys, 1)}
+    want = {}
+    for x, ys in near.items():
+        scores = defaultdict(float)
+        for y, s in ys:
+            for i in baskets[y] - baskets[x]:
+                scores[i] += s
+        want |= {(x, k): v for k, v in enumerate(top(scores, 10), 1)}
+    got = recommend.user_based(edges(spark, baskets), 10, 8, least).collect()
+    assert {(r["user"], r["rank"]): (r["item"], r["score"]) for r in got} == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    """One item that all 3,000 users have: nine million pairs, and a shuffle of rows for edges and blocks only."""
+    rows = spark.range(3000).selectExpr("id AS user", "0L AS item").unionByName(spark.range(3000).selectExpr("id AS user", "id % 7 + 1 AS item"))
+    found = recommend.user_neighbours(rows, 5)
+    assert found.count() == 15_000
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin [user" not in plan and "Window" not in plan
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "user bigint, item bigint")
-    assert recommend.item_based(none).count() == 0
+    assert recommend.user_based(none).count() == recommend.item_based(none).count() == recommend.user_neighbours(none).count() == 0
