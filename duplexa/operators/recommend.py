@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_likelihood
-from ..sources.staging import staged
+from ..sources.staging import staged, written
 from . import blocks
 from .encode import ranked
 from .project import _joined
@@ -99,11 +99,9 @@ def user_neighbours(edges: DataFrame, neighbours: int = 20, min_support: int = 1
 
 
 def user_based(edges: DataFrame, n: int = 10, neighbours: int = 20, min_support: int = 1) -> DataFrame:
-    """Unseen items by the sum of the similarities of the nearest users that have them."""
-    seen = edges.select("user", "item").distinct()
-    near = user_neighbours(edges, neighbours, min_support)
-    scored = near.join(seen.withColumnRenamed("user", "y"), "y").groupBy(F.col("x").alias("user"), "item").agg(F.sum("similarity").alias("score"))
-    return _top(scored, seen, n)
+    """Unseen items by the sum of the similarities of the nearest users that have them; ties by ascending item, scores to six places."""
+    seen = blocks.stored(edges, "user")
+    return blocks.by_users(seen, written(blocks.near(seen, neighbours, min_support), "near"), n)
 
 
 def pearson(ratings: DataFrame, min_common: int = 2) -> DataFrame:
