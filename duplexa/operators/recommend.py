@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_likelihood
-from ..sources.staging import staged, written
+from ..sources.staging import shared_folder, ship, staged, written
 from . import blocks
 from .encode import ranked
 from .project import _joined
@@ -125,21 +127,111 @@ def pearson_based(ratings: DataFrame, n: int = 20, neighbours: int = 100, min_co
 
 
 def als(ratings: DataFrame, rank: int = 20, reg: float = 0.1, iterations: int = 10, implicit: bool = False, alpha: float = 40.0, seed: int = 7):
-    """An ALS model; ids must fit 32 bits (encode them first)."""
+    """An ALS model; ids must fit 32 bits (encode them first). Factors go to the shared folder every other iteration, and the shuffle files before them go."""
     from pyspark.ml.recommendation import ALS
 
-    return ALS(rank=rank, regParam=reg, maxIter=iterations, implicitPrefs=implicit, alpha=alpha, seed=seed, userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop").fit(ratings)
+    shared_folder(ratings.sparkSession)
+    return ALS(checkpointInterval=2, rank=rank, regParam=reg, maxIter=iterations, implicitPrefs=implicit, alpha=alpha, seed=seed, userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop").fit(ratings)
+
+
+#: Bytes of item factors that are broadcast at a time, users and items scored at a time.
+FACTOR_BYTES, USERS, TILE = 160 << 20, 64, 16_384
+
+
+def _best_unseen(u: np.ndarray, seen: list[np.ndarray], ids: np.ndarray, factors: np.ndarray, norms: np.ndarray, n: int, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of u, place in ids, score): the n best of the ids that a user has not seen, by descending rounded score, then id.
+
+    Items come by descending length of their factors: a tile whose bound is below a user's n-th best cannot change its list.
+    """
+    m = len(u)
+    least, lengths = np.full(m, -np.inf, np.float32), np.sqrt((u.astype(float) ** 2).sum(1))
+    mine = np.repeat(np.arange(m), [len(x) for x in seen])
+    gone = np.concatenate([*seen, np.empty(0, np.int64)])  # places in ids; those out of it are left out before
+    row, at, score, news = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), []
+    for a in range(0, len(ids), tile):
+        live = np.flatnonzero(lengths * norms[a] >= least - 2e-6 - 1e-6 * np.abs(least))
+        if not len(live):
+            break
+        some = u[live] @ factors[a : a + tile].T
+        back = np.full(m, -1)
+        back[live] = np.arange(len(live))
+        here = (gone >= a) & (gone < a + tile) & (back[mine] >= 0)
+        some[back[mine[here]], gone[here] - a] = -np.inf
+        if some.shape[1] > n and np.isneginf(least[live]).any():
+            floor = np.maximum(least[live], np.partition(some, -n, axis=1)[:, -n])
+        else:
+            floor = least[live]
+        r, c = np.divmod(np.flatnonzero(some >= np.maximum(floor - np.float32(2e-6), np.finfo(np.float32).min)[:, None]), some.shape[1])
+        news.append((live[r], c + a, some[r, c]))
+        if sum(len(x[0]) for x in news) > m * n or a + tile >= len(ids) or np.isneginf(least).any():
+            row, at, score = (np.concatenate(c) for c in zip((row, at, score), *news, strict=True))
+            news = []
+            order = np.lexsort((-score, row))
+            row, at, score = row[order], at[order], score[order]
+            begin = np.searchsorted(row, np.arange(m + 1))
+            full = np.diff(begin) >= n
+            least[full] = score[begin[:-1][full] + n - 1]
+            keep = score >= least[row] - np.float32(2e-6)
+            row, at, score = row[keep], at[keep], score[keep]
+    if news:
+        row, at, score = (np.concatenate(c) for c in zip((row, at, score), *news, strict=True))
+    score = np.round(score, 6)
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], at[place < n], score[place < n]
 
 
 def als_top(model, ratings: DataFrame, n: int = 500) -> DataFrame:
-    """The n best unseen items of every user. Users are taken by the length of their history, doubling, so a long one lengthens few lists."""
-    seen = ratings.select("user", "item").distinct()
-    users = seen.groupBy("user").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("size"))
-    recs = None
-    for r in users.select("size").distinct().orderBy("size").collect():  # at most one row for each power of two
-        some = model.recommendForUserSubset(users.where(F.col("size") == r["size"]).select("user"), n + (1 << r["size"]))
-        some = some.select("user", F.inline("recommendations")).select("user", "item", F.col("rating").alias("score"))
-        recs = some if recs is None else recs.unionByName(some)
-    if recs is None:
-        recs = ratings.sparkSession.createDataFrame([], "user int, item int, score float")
-    return _top(recs.select(F.col("user").cast("bigint").alias("user"), F.col("item").cast("bigint").alias("item"), "score"), seen, n)
+    """(user, item, score, rank): the n best unseen items of every user; ties by ascending item, scores to six places.
+
+    Item factors are broadcast, ``FACTOR_BYTES`` at a time; every user is scored against all of them, and only the list leaves the task.
+    """
+    spark = ratings.sparkSession
+    ship(spark)
+    baskets = ratings.select("user", "item").distinct().groupBy("user").agg(F.collect_list(F.col("item").cast("bigint")).alias("items"))
+    users = baskets.join(model.userFactors.select(F.col("id").alias("user"), "features"), "user").select(F.col("user").cast("bigint").alias("user"), "features", "items")
+    norm = F.aggregate(F.transform("features", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
+    table = model.itemFactors.select(F.col("id").cast("bigint").alias("id"), "features", norm.alias("norm"))
+    rank, count = model.rank, table.count()
+    rounds = max(1, -(-count * rank * 4 // FACTOR_BYTES))
+    most, tile = USERS, TILE
+    if rounds > 1:
+        users = written(users, "users")
+
+    def scored(part: DataFrame) -> DataFrame:
+        got = part.toArrow()
+        ids = np.asarray(got.column("id"), dtype=np.int64)
+        order = np.lexsort((ids, -np.asarray(got.column("norm"))))
+        factors = got.column("features").combine_chunks()
+        factors = np.asarray((pa.concat_arrays(factors.chunks) if isinstance(factors, pa.ChunkedArray) else factors).flatten(), dtype=np.float32).reshape(-1, rank)[order]
+        shared = spark.sparkContext.broadcast((ids[order], factors, np.sqrt(np.asarray(got.column("norm"))[order])))
+
+        def run(batches):
+            ids, factors, norms = shared.value
+            by_id = np.argsort(ids)
+            for batch in batches:
+                for a in range(0, len(batch), most):
+                    some = batch.slice(a, most)
+                    u = np.asarray(some.column(1).flatten(), dtype=np.float32).reshape(len(some), -1)
+                    seen = []
+                    for x in some.column(2):
+                        x = np.asarray(x.values)
+                        at = by_id[np.minimum(np.searchsorted(ids, x, sorter=by_id), len(ids) - 1)]
+                        seen.append(at[ids[at] == x])
+                    row, at, score = _best_unseen(u, seen, ids, factors, norms, n, tile)
+                    place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(some.column(0))[row]), pa.array(ids[at]), pa.array(score), pa.array(place.astype(np.int32))], names=["user", "item", "score", "rank"])
+
+        return users.mapInArrow(run, "user bigint, item bigint, score float, rank int")
+
+    if count == 0:
+        return spark.createDataFrame([], "user bigint, item bigint, score float, rank int")
+    if rounds == 1:
+        return scored(table)
+    parts = [scored(table.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k)) for k in range(rounds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

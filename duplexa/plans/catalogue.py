@@ -16,7 +16,7 @@ from ..functions import range_group_of
 from ..operators import baskets as B
 from ..operators import encode, evaluate, links, recommend, support, udf
 from ..operators.project import project
-from ..sources.staging import stage_path, staged
+from ..sources.staging import stage_path, staged, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -618,7 +618,7 @@ def als_implicit_topn(spark, d):
 
 @query()
 def als_explicit_topn(spark, d):
-    r = ratings(spark, d)
+    r = written(ratings(spark, d), "ratings")
     return recommend.als_top(recommend.als(r), r, 500)
 
 
