@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from . import _exchange as X
 from . import _text
+from ._text import Generations
 
 LONG = 128
 #: Words (and pieces) of each of the two generations of a worker's cache.
@@ -98,27 +99,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Generations:
-    """A cache of bounded size: when the young half is full, the old half goes."""
-
-    def __init__(self, most: int = CACHE):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: list) -> list:
-        out = []
-        for k in keys:
-            if k not in self.young:
-                if k in self.old:
-                    self.young[k] = self.old[k]
-                else:
-                    out.append(k)
-        return out
-
-    def trim(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-
-
 class Codec:
     """Merge table and vocabulary of a rank file in a database of its own."""
 
@@ -135,7 +115,7 @@ class Codec:
         self._table("merges", l=left, r=right, m=merged)
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), piece=pa.array([w.hex() for w in self.ranks], pa.string()))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words, self.pieces = Generations(), Generations()
+        self.words, self.pieces = Generations(CACHE), Generations(CACHE)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from . import _text
 SEQUENCE, CLOSING = 2048, 1
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Pieces in one packing group, about, and entries of a worker's cache of encoded words.
+#: Pieces in one packing group, about, and entries of each of the two generations of a worker's cache of encoded words.
 GROUP_PIECES, CACHE = 50_000, 150_000
 
 _LETTER = np.zeros(256, bool)
@@ -49,7 +50,7 @@ def _tokenizer(path: str):
 
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
-        _encoded[path] = {}
+        _encoded[path] = _text.Generations(CACHE)
     return _tokenizers[path], _encoded[path]
 
 
@@ -64,9 +65,11 @@ def encode(buf: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray,
     words = _text.words(buf, offsets)
     if not len(words.start):
         return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-    special = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(np.append((buf[:-1] == 60) & (buf[1:] == 124), False), out=special[1:])
-    whole = special[words.end] > special[words.start]
+    whole = np.zeros(len(words.start), bool)
+    if buf.tobytes().find(b"<|") >= 0:
+        special = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(np.append((buf[:-1] == 60) & (buf[1:] == 124), False), out=special[1:])
+        whole = special[words.end] > special[words.start]
     letter, sign = _LETTER[buf], _MARK[buf]
     cut = np.flatnonzero((letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])) + 1
     if whole.any():
@@ -75,32 +78,24 @@ def encode(buf: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray,
     first[words.start] = first[cut] = True
     inside = ~_text._SPACE[buf]
     compact, edge = buf[inside], np.append(np.flatnonzero(first[inside]), int(inside.sum()))
-    plain = np.zeros(len(compact) + 1, np.int64)
-    np.cumsum(compact >= 128, out=plain[1:])
-    fold = plain[edge[1:]] == plain[edge[:-1]]
+    fold = ~np.logical_or.reduceat(compact >= 128, edge[:-1])
     if whole.any():
         fold &= ~whole[np.searchsorted(words.start, np.flatnonzero(first), "right") - 1]
     folded = np.repeat(fold, np.diff(edge))
     compact = np.where(folded, _text._LOWER[compact], compact)
     parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(compact)]).dictionary_encode()
     distinct = parts.dictionary.to_pylist()
-    missing = [w for w in distinct if w not in cache]
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = distinct
+    missing = cache.missing(distinct)
     for i in range(0, len(missing), 20_000):
         some = missing[i : i + 20_000]
         for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    ids = [cache[w] for w in distinct]
-    size = np.array([len(x) // 4 for x in ids])
-    table, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-    which = np.asarray(parts.indices)
-    count = size[which]
-    upto = np.cumsum(count)
-    out = table[np.arange(int(upto[-1])) + np.repeat(begin[which] - upto + count, count)]
+            cache.young[w] = array("I", e.ids).tobytes()
+    taken = pa.array([cache.young[w] for w in distinct], pa.large_binary()).take(parts.indices)
+    cache.trim()
+    upto = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8) // 4
+    out = np.frombuffer(taken.buffers()[2] or b"", np.uint32, int(upto[-1]))  # the parts' ids, one after the other
     of_text = np.searchsorted(np.flatnonzero(first), offsets)
-    return out, np.concatenate([[0], upto])[of_text]
+    return out, upto[of_text]
 
 
 def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -110,7 +105,7 @@ def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
-        for batch in _text.slices(batches, "__text"):
+        for batch in _text.slices(batches, "__text", 2 << 20):
             buf, offsets = _text.text_buffer(batch.column(1))
             ids, first = encode(buf, offsets, path)
             rows = [[], [], [], [], []]
@@ -126,8 +121,9 @@ def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(np.arange(at, at + n)), batch.column(0).take(pa.array(rows[0], pa.int64())), *[pa.array(c, pa.int64()) for c in rows[1:]], pa.array(raw, pa.binary())]
             at += n
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        _encoded.get(path, {}).clear()
-        X.release()
+        if path in _encoded:
+            X.keep("packing", _encoded[path].clear)
+        X.release("packing")
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]

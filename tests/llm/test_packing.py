@@ -96,3 +96,33 @@ def test_query_and_edges(spark):
     share = check(P.op7_packing(spark, d).collect(), texts)
     print("filled", share)
     assert share > 0.97
+
+
+def test_encoded_words_outlive_a_slice_and_a_task(monkeypatch):
+    """A full cache loses its older half only, and the words of the slice at hand never; another operator's task ends it."""
+    from duplexa.llm import _exchange as X
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setitem(P._encoded, path, _text.Generations(4))
+    P._tokenizer(path)
+    monkeypatch.setitem(P._encoded, path, _text.Generations(4))
+    tokenizer = P._tokenizer(path)[0]
+    asked = []
+    real = tokenizer.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, words, **more):
+            asked.extend(words)
+            return real(words, **more)
+
+    monkeypatch.setitem(P._tokenizers, path, Counting())
+    for text in ("one two three", "four five six", "one two three", "one seven"):
+        raw = text.encode()
+        ids, first = P.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), path)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and first.tolist() == [0, len(ids)]
+    assert asked == ["one", "two", "three", "four", "five", "six", "seven"]
+    X.keep("packing", P._encoded[path].clear)
+    X.release("packing")
+    assert P._encoded[path].young
+    X.release()
+    assert not P._encoded[path].young and not P._encoded[path].old
