@@ -164,14 +164,14 @@ class Codec:
         return out
 
     def _cached(self, words: list[bytes]) -> dict:
-        """word -> (count, decimal ids, little-endian ids, decoded bytes), whether just encoded or met before."""
+        """word -> (count, decimal ids with a space before each, little-endian ids, decoded bytes), whether just encoded or met before."""
         cache = self.words
         new = cache.missing(words)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             ids = self.encode(some)
             for w, x, b in zip(some, ids, self.decode(ids), strict=True):
-                cache.young[w] = (len(x), " ".join(map(str, x.tolist())).encode(), x.astype("<u4").tobytes(), b)
+                cache.young[w] = (len(x), "".join([f" {t}" for t in x.tolist()]).encode(), x.astype("<u4").tobytes(), b)
         return cache.young
 
     def pieces_of(self, distinct: list[bytes]) -> list[tuple]:
@@ -182,7 +182,7 @@ class Codec:
             known = self._cached(list({w for c in cut for w in c}))
             for p, c in zip(new, cut, strict=True):
                 parts = [known[w] for w in c]
-                self.pieces.young[p] = parts[0] if len(parts) == 1 else (sum(x[0] for x in parts), b" ".join(x[1] for x in parts), b"".join(x[2] for x in parts), b"".join(x[3] for x in parts))
+                self.pieces.young[p] = parts[0] if len(parts) == 1 else (sum(x[0] for x in parts), b"".join(x[1] for x in parts), b"".join(x[2] for x in parts), b"".join(x[3] for x in parts))
             self.words.trim()
         out = [self.pieces.young[p] for p in distinct]
         self.pieces.trim()
@@ -249,8 +249,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             edge = np.append(start, len(buf)).astype(np.int32)
             pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(buf))]).filter(pa.array(plain)).dictionary_encode()
             table = coder.pieces_of(pieces.dictionary.to_pylist())
-            which = np.asarray(pieces.indices, dtype=np.int64)
             where = np.searchsorted(doc[plain], np.arange(len(column) + 1))
+            tokens = np.cumsum(np.append(0, np.array([x[0] for x in table], np.int64)[np.asarray(pieces.indices, dtype=np.int64)]))[where]
+            # what stands one after the other in a text does so in the buffers of the pieces taken in order
+            taken = [pa.array([x[k] for x in table], pa.large_binary()).take(pieces.indices) for k in ((1, 3, 2) if with_ids else (1, 3))]
+            data = [memoryview(x.buffers()[2] or b"") for x in taken]
+            edges = [np.frombuffer(x.buffers()[1], np.int64, len(x) + 1, x.offset * 8)[where].tolist() if len(x) else [0] * len(where) for x in taken]
             out = [[], [], [], []]
             for d in range(len(column)):
                 if odd[d]:
@@ -258,9 +262,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     known = coder._cached(list(set(words)))
                     own = [known[w] for w in words]
                     coder.words.trim()
+                    n, parts = sum(x[0] for x in own), [b"".join([x[k] for x in own]) for k in (1, 3, 2)]
                 else:
-                    own = [table[i] for i in which[where[d] : where[d + 1]].tolist()]
-                for c, v in zip(out, (sum(x[0] for x in own), hashlib.sha256(b" ".join([x[1] for x in own])).hexdigest(), hashlib.sha256(b"".join([x[3] for x in own])).hexdigest(), b"".join([x[2] for x in own]) if with_ids else None), strict=True):
+                    n, parts = int(tokens[d + 1] - tokens[d]), [x[e[d] : e[d + 1]] for x, e in zip(data, edges, strict=True)]
+                for c, v in zip(out, (n, hashlib.sha256(parts[0][1:]).hexdigest(), hashlib.sha256(parts[1]).hexdigest(), bytes(parts[2]) if with_ids else None), strict=True):
                     c.append(v)
             return out
 
