@@ -129,3 +129,19 @@ def test_added_spans_against_a_plain_scan(spark, net):
 
 def test_recall_is_told_apart(net):
     assert net.recalls["generated"] >= 0.97
+
+
+def test_all_documents_teach(spark, monkeypatch):
+    """The one document with keys of a kind counts wherever its id stands, and parts learn what one process learns."""
+    r = np.random.default_rng(31)
+    rows = [(i, f"text {i} " + "".join(f"{a}{t}{b} " if y == 0 else f"{a}token={t}{b} " for a, t, b, y in S.generated(r, 6))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = S._labelled(docs, "text").collect()
+    secrets = {x["token"] for x in found if x["label"] == 1}
+    assert len(secrets) > 700 and len({x["before"] for x in found}) > 700
+    monkeypatch.setattr(S, "MOST_DOCUMENTS", 5, raising=False)  # no such bound any more
+    net = S.learn(docs, most=len(found) // 3)
+    assert net.recalls["documents"] > 0.95 and net.recalls["generated"] > 0.9
+    x, which, y = S._findings(S.generated(np.random.default_rng(97), 2000))
+    yes = net.best(x, which, len(y)) >= net.threshold
+    assert yes[y == 1].mean() > 0.9 and yes[y == 0].mean() < 0.1
