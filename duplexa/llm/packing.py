@@ -98,14 +98,19 @@ def encode(buf: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray,
     return out, upto[of_text]
 
 
-def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: (uid, id, start, length, ids_crc32, doc_tokens), with the ids' bytes if asked for."""
+def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: bool = True) -> DataFrame:
+    """A row for each piece: (uid, id, start, length, ids_crc32, doc_tokens), with the ids' bytes if asked for.
+
+    Unless ``keep``, encoded words go with their task, and fewer are held, where memory is short.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
-        for batch in _text.slices(batches, "__text", 2 << 20):
+        cache = _tokenizer(path)[1]
+        cache.most = CACHE if keep else CACHE // 2
+        for batch in _text.slices(batches, "__text", 2 << 20 if keep else 1 << 20):
             buf, offsets = _text.text_buffer(batch.column(1))
             ids, first = encode(buf, offsets, path)
             rows = [[], [], [], [], []]
@@ -121,9 +126,8 @@ def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(np.arange(at, at + n)), batch.column(0).take(pa.array(rows[0], pa.int64())), *[pa.array(c, pa.int64()) for c in rows[1:]], pa.array(raw, pa.binary())]
             at += n
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        if path in _encoded:
-            X.keep("packing", _encoded[path].clear)
-        X.release("packing")
+        X.keep("packing", cache.clear)
+        X.release("packing" if keep else "")
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
@@ -180,14 +184,14 @@ def assign(length: np.ndarray, room: int = SEQUENCE) -> tuple[np.ndarray, np.nda
     return sequence, offset
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False, keep: bool = True) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset. ``path`` is the tokenizer's file."""
     X.ship(docs.sparkSession)
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    pieces = X.written(cut(docs, path, id_col, text_col, with_ids), "pieces")  # the uids must not change any more
+    pieces = X.written(cut(docs, path, id_col, text_col, with_ids, keep), "pieces")  # the uids must not change any more
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn(X.GROUP, F.pmod(F.xxhash64("uid"), F.lit(groups)).cast("int"))
 
