@@ -90,3 +90,11 @@ def test_verdicts_against_plain_rules(spark):
                 first = k
         failed = n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]
         assert (r["base_failed"], r["rule"], r["kept"]) == (failed, first, not failed and first == 0), i
+
+
+def test_a_filter_counts_a_text_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id long, text string").write.parquet(path)
+    kept = Q.judge(spark.read.parquet(path), Q.RuleList()).where("kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.count() == 0

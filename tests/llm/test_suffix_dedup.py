@@ -127,3 +127,14 @@ def test_empty_and_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in S.op4_suffix_dedup(spark, d).collect()), key=str)
     assert got == brute(rows) and sum(x[2] for x in got) > 0
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_segments_are_cut_once(spark, tmp_path, keep_first):
+    """All that is asked reads one exchange: asking a second time needs the time and memory of its Python workers again."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"{i} " * 300, None) for i in range(20)], SCHEMA).write.parquet(path)
+    out = S.remove_repeats(spark.read.parquet(path), groups=3, give=(), keep_first=keep_first)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FlatMapGroupsInArrow") == 2  # to ask, and to judge
