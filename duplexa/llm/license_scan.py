@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 from pathlib import Path
 
@@ -93,6 +94,17 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
+def _array(words: Iterable[str]) -> Column:
+    """An array of words from one literal, which the optimizer folds: plans are copied again and again, and one literal a word fills the driver."""
+    text = " ".join(words)
+    return F.split(F.lit(text), " ") if text else F.array().cast("array<string>")
+
+
+def _table(values: dict[str, float]) -> Column:
+    """A map of words from two literals."""
+    return F.map_from_arrays(_array(values), _array(map(repr, values.values())).cast("array<double>"))
+
+
 VOCABULARY = sorted({w for t in TEMPLATES.values() for w in _words(t)})
 
 
@@ -154,8 +166,8 @@ def _tries(own: Column, weights: list[dict[str, float]], threshold: float) -> Co
     """Numbers of the templates that some unit of a text with these distinct words can reach."""
 
     def may_reach(vector: dict[str, float]) -> Column:
-        least, squares = least_words(vector, threshold), F.create_map(*[x for w, v in vector.items() for x in (F.lit(w), F.lit(v * v))])
-        common = F.array_intersect(F.array(*[F.lit(w) for w in vector]), own)
+        least, squares = least_words(vector, threshold), _table({w: v * v for w, v in vector.items()})
+        common = F.array_intersect(_array(vector), own)
         total = F.aggregate(common, F.lit(0.0), lambda s, w: s + squares[w])
         return (F.size(own) >= least) & (F.size(common) >= least) & (F.sqrt(total) >= threshold - 1e-6)
 
@@ -186,7 +198,7 @@ def blocks(texts: DataFrame, weights: list[dict[str, float]], idf: dict[str, flo
     kinds = spark.createDataFrame([(t, name, size, max(1, size // STARTS), t < len(TEMPLATES)) for t, (name, _, size) in enumerate(notices())], "t int, name string, size int, step int, short boolean")
     weight = spark.createDataFrame([(t, w, v) for t, vector in enumerate(weights) for w, v in vector.items()], "t int, word string, v double")
     rare = spark.createDataFrame(list(idf.items()), "word string, idf double")
-    vocabulary = F.array(*[F.array(*[F.lit(w) for w in sorted(vector)]) for vector in weights])
+    vocabulary = F.array(*[_array(sorted(vector)) for vector in weights])
     unit = ["key", "t", "block"]
     # a block's number is that of the step in which it begins; the whole file is number -1
     low, high = F.greatest(F.lit(0), F.floor((c("first") - c("size") + 1) / c("step"))), F.floor(c("first") / c("step"))
@@ -235,14 +247,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     every = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in sorted({w for _, words, _ in notices() for w in words})}
     weights = [_unit(words, every) for _, words, _ in notices()]
     templates = vectors(idf)
-    needed = F.array(*[F.lit(w) for w in decisive(templates, threshold)])
+    needed = _array(decisive(templates, threshold))
 
     def may_match(text: Column) -> Column:
         return F.arrays_overlap(F.split(F.lower(text), SEPARATORS), needed)
 
-    def table(values: dict[str, float]) -> Column:
-        return F.create_map(*[x for w, v in sorted(values.items()) for x in (F.lit(w), F.lit(v))])
-
     keep = [x for x in files.columns if x not in [*RESULT, "__lines", "__words", "__key", "__id", "rank", "lines"] and (keep_text or x != text_col)]
     text = F.coalesce(c(text_col), F.lit(""))
 
@@ -251,11 +260,11 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
 
     def label(line: Column) -> Column:
         words = tokens(line)
-        idf_of = table(idf)
+        idf_of = _table(dict(sorted(idf.items())))
         # words outside the vocabulary add to the norm only; known ones by how often they occur
         weighted = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(idf_of[w], F.lit(other))).alias("x")))
         norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-        scores = [F.struct((-F.round(F.when(norm > 0, dot(weighted, table(v)) / norm).otherwise(0.0), 6)).alias("less"), F.lit(name).alias("name")) for name, v in templates.items()]
+        scores = [F.struct((-F.round(F.when(norm > 0, dot(weighted, _table(dict(sorted(v.items())))) / norm).otherwise(0.0), 6)).alias("less"), F.lit(name).alias("name")) for name, v in templates.items()]
         best = F.array_min(F.array(*scores))
         return F.struct((-best["less"]).alias("cosine"), best["name"].alias("name"), F.size(words).alias("n"))
 
@@ -264,8 +273,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     labels = F.transform(F.filter(numbered, lambda x: may_match(x["line"])), lambda x: F.struct(label(x["line"]).alias("l"), x["pos"].alias("pos")))
     labels = F.transform(F.filter(labels, lambda x: x["l"]["cosine"] >= threshold), lambda x: F.struct(x["l"]["cosine"].alias("cosine"), x["l"]["name"].alias("name"), x["l"]["n"].alias("n"), x["pos"].alias("pos")))
     none = F.array().cast("array<struct<cosine:double,name:string,n:int,pos:int>>")
-    known = F.array(*[F.lit(w) for w in every])
-    gate = F.array(*[F.lit(w) for w in decisive(dict(enumerate(weights)), threshold)])
+    known = _array(every)
+    gate = _array(decisive(dict(enumerate(weights)), threshold))
     split = F.split(F.lower(text), SEPARATORS)
     known = F.when(F.arrays_overlap(split, gate), F.array_intersect(split, known)).otherwise(F.array().cast("array<string>"))
     labelled = files.select(*dict.fromkeys([*keep, text_col]), F.when(may_match(text), labels).otherwise(none).alias("__lines"), known.alias("__known"))

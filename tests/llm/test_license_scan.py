@@ -65,3 +65,16 @@ def test_files_and_blocks(spark):
     assert sorted({(str(r["path"]), str(r["license"])) for r in got} ^ set(want)) == [] and len(got) == len(want)
     by = {r["path"]: r for r in got}
     assert by["bsd/x.py"]["origin"] == "inherited" and by["wrapped/1"]["n_lines"] == 2 and by["title/1"]["n_lines"] == 1
+
+
+def test_plans_hold_few_literals(spark, monkeypatch):
+    """A literal for each word of the templates, copied with every plan, fills the driver's heap."""
+    made, lit = [], L.F.lit
+    monkeypatch.setattr(L.F, "lit", lambda x: made.append(x) or lit(x))
+    L.scan(spark.createDataFrame([("LICENSE", next(t for n, t in L.NOTICES if n == "GPL-3.0"), "x")], SCHEMA)).collect()
+    assert len(made) < 1000
+
+
+def test_tables_from_two_literals(spark):
+    values = {"a": 1 / 3, "b2": 1e-17, "c": 12345.678901234567}
+    assert spark.range(1).select(L._table(values), L._array(values), L._array([])).first()[:] == (values, list(values), [])
