@@ -7,6 +7,7 @@ slices inside a block's task, and only the best leave it. Lists are packed: sort
 
 from __future__ import annotations
 
+import itertools
 import math
 import pickle
 import tempfile
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import cleaned, ship, written
 
-#: Edges of a block, edges packed at a time, pairs formed at a time, and similarities a block of items holds.
-BLOCK, PACKED, SLICE, HELD = 3_000_000, 400_000, 1 << 18, 12_000_000
+#: Edges of a block, edges packed at a time, pairs formed at a time, and similarities a block of items holds at a time.
+BLOCK, PACKED, SLICE, HELD = 3_000_000, 400_000, 1 << 18, 6_000_000
+#: Cells of a table of similarities, the share of them from which a table is worth it, and parts of a blob's pairs by item.
+CELLS, SHARE, POINTS = 96_000_000, 1 / 64, 1024
+#: A similarity of 1 in a table, and rows added at a time: their product is below 1 << 16.
+UNIT, ADDED = 512, 127
 #: Blocks at least, so that a small cluster is busy.
 LEAST = 12
 
@@ -187,11 +192,19 @@ class Lists:
 def _similarity(both: np.ndarray, one: np.ndarray, two: np.ndarray, total: int) -> np.ndarray:
     """1 - 1 / (1 + log likelihood), each different argument once; as ``functions.log_likelihood``, operation by operation."""
     m = int(max(one.max(initial=0), two.max(initial=0))) + 1
-    if (int(both.max(initial=0)) + 1) * m * m < 1 << 62:
+    most = (int(both.max(initial=0)) + 1) * m * m
+    where = again = slice(None)
+    if most <= 4 * len(both):
+        key = (both * m + one) * m + two
+        last = np.full(most, -1)
+        last[key] = np.arange(len(key))
+        different = np.flatnonzero(last >= 0)
+        where = last[different]
+        last[different] = np.arange(len(different))
+        again = last[key]
+    elif most < 1 << 62:
         _, where, again = np.unique((both * m + one) * m + two, return_index=True, return_inverse=True)
-        both, one, two = both[where], one[where], two[where]
-    else:
-        again = slice(None)
+    both, one, two = both[where], one[where], two[where]
     k11, k12, k21, k22 = (c.astype(float) for c in (both, two - both, one - both, total - one - two + both))
 
     def xlogx(v):
@@ -235,8 +248,8 @@ def _dealt(rows: DataFrame, pack, blocks: int) -> DataFrame:
     return packed.repartitionById(blocks, "block")
 
 
-def _sender(blocks: int, everywhere: bool = False):
-    """Packs lists of (pivot, x, degree) for the blocks they touch, or for all."""
+def _sender(blocks: int):
+    """Packs lists of (pivot, x, degree) for the blocks they touch."""
 
     packed = PACKED
 
@@ -246,7 +259,7 @@ def _sender(blocks: int, everywhere: bool = False):
             size = np.diff(begin)
             home, number = _block(x, blocks), np.repeat(np.arange(len(size)), size)
             for k in range(blocks):
-                touched = np.ones(len(size), bool) if everywhere else np.zeros(len(size), bool)
+                touched = np.zeros(len(size), bool)
                 touched[number[home == k]] = True
                 rows = touched[number]
                 if rows.any():
@@ -338,62 +351,285 @@ def by_users(seen: DataFrame, nearest: DataFrame, n: int) -> DataFrame:
     return _dealt(rows, send, blocks).mapInArrow(_task(run, "user", "item", "score", "rank"), "user bigint, item bigint, score double, rank int")
 
 
+def _packer():
+    """Packs whole lists of (pivot, x, degree)."""
+    packed = PACKED
+
+    def pack(batches):
+        for pivot, x, degree in _whole(batches, packed):
+            begin = _bounds(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(pivot[begin[:-1]], np.diff(begin), x, degree)], pa.binary())], names=["blob"])
+
+    return pack
+
+
+def _ranges(baskets: DataFrame) -> tuple[int, int, np.ndarray]:
+    """(users, blocks, last id of each block but the last): ranges of items with about as many pairs each, of packed baskets."""
+    points, block, least = POINTS, BLOCK, LEAST
+
+    def sums(batches):
+        """Items that cut a blob's pairs to equal parts, with their part."""
+        for batch in batches:
+            for blob in batch.column(0):
+                _, size, items, _ = _unpack(blob.as_buffer())
+                order = np.argsort(items)
+                total = np.cumsum(np.repeat(size, size)[order])
+                at = np.unique(np.searchsorted(total, np.linspace(0, total[-1], points + 1)[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(items[order][at]), pa.array(np.diff(total[at], prepend=0)), pa.array([len(size)] + [0] * (len(at) - 1)), pa.array([len(items)] + [0] * (len(at) - 1))], names=["item", "pairs", "users", "edges"])
+
+    got = baskets.mapInArrow(sums, "item bigint, pairs bigint, users bigint, edges bigint").toArrow()
+    item, pairs, users, edges = (c.to_numpy() for c in got.columns)
+    blocks = max(least, math.ceil(int(edges.sum()) / block))
+    order = np.argsort(item)
+    total = np.cumsum(pairs[order])
+    cuts = item[order][np.searchsorted(total, total[-1] * np.arange(1, blocks) / blocks)] if len(item) else item
+    return int(users.sum()), blocks, np.unique(cuts)
+
+
+def _met(size: np.ndarray, home: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks that each list touches."""
+    met = np.zeros((len(size), blocks), bool)
+    met[np.repeat(np.arange(len(size)), size), home] = True
+    return met
+
+
+def _reach(baskets: DataFrame, cuts: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks that share a basket: only from there can an item be like one of the block's."""
+
+    def shared(batches):
+        reach = np.zeros((blocks, blocks), bool)
+        for batch in batches:
+            for blob in batch.column(0):
+                _, size, items, _ = _unpack(blob.as_buffer())
+                met = np.unique(np.packbits(_met(size, np.searchsorted(cuts, items), blocks), axis=1), axis=0)
+                met = np.unpackbits(met, axis=1, count=blocks).astype(np.float32)
+                reach |= met.T @ met > 0
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(reach).tobytes()], pa.binary())], names=["reach"])
+
+    reach = np.eye(blocks, dtype=bool)
+    for row in baskets.mapInArrow(shared, "reach binary").toLocalIterator():
+        reach |= np.unpackbits(np.frombuffer(row["reach"], np.uint8), count=blocks * blocks).reshape(blocks, blocks) > 0
+    return reach
+
+
+class Table:
+    """Similarities of some of a block's items (columns) to all items (rows) as whole numbers; sums of rows bound a score, so few are added exactly."""
+
+    def __init__(self, rows: np.ndarray, width: int, col: np.ndarray, y: np.ndarray, s: np.ndarray, values: int):
+        self.row = np.full(values, -1, np.int64)
+        self.row[rows] = np.arange(len(rows))
+        self.width = width
+        low = max(1, round(float(s.min()) * UNIT))
+        self.least, self.error = low, 0.5 if low > 1 else 1.0
+        self.cells, some = np.empty((len(rows), -(-width // 32) * 32), np.uint16), np.zeros(32 * len(rows), np.uint16)
+        # bits of the rows of each column, and the pairs before each 64 of them
+        self.words, self.s = -(-len(rows) // 64), s
+        self.bits, self.before = np.zeros(width * self.words, np.uint64), np.zeros(width * self.words, np.int32)
+        begin = np.searchsorted(col, np.arange(0, width + 32, 32)).tolist()
+        for k, (a, b) in enumerate(itertools.pairwise(begin)):
+            c, place = col[a:b].astype(np.int64), self.row[y[a:b]]
+            at = place * 32 + (c & 31)
+            some[at] = np.maximum(np.rint(s[a:b] * UNIT), 1)
+            self.cells[:, 32 * k : 32 * k + 32] = some.reshape(-1, 32)
+            some[at] = 0
+            word = c * self.words + (place >> 6)
+            first = _bounds(word)[:-1]
+            if len(first):
+                self.bits[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
+                self.before[word[first]] = a + first
+
+    def scores(self, number, length, column, least, n, most):
+        """(user, column, score) of all that can be among the n best of a user; ``least`` is what a score must reach."""
+        user = np.repeat(np.arange(len(length)), length)
+        seen = np.flatnonzero((column >= 0) & (column < self.width))
+        row = self.row[number]
+        at = np.flatnonzero(row >= 0)
+        row, user_, user = row[at], user[seen], user[at]
+        begin = _bounds(user)
+        live, begin, wide = user[begin[:-1]], begin.tolist(), self.cells.shape[1]
+        buffer, found = np.empty((ADDED, wide), np.uint16), []
+        many = max(1, most // wide)
+        for a in range(0, len(live), many):
+            b = min(a + many, len(live))
+            count = np.diff(begin[a : b + 1])
+            sums = np.zeros((b - a, wide), np.uint16 if count.max() <= ADDED else np.int64)
+            for k in range(a, b):
+                if begin[k + 1] - begin[k] <= ADDED:
+                    part = buffer[: begin[k + 1] - begin[k]]
+                    np.take(self.cells, row[begin[k] : begin[k + 1]], axis=0, out=part, mode="clip")
+                    np.add.reduce(part, axis=0, dtype=sums.dtype, out=sums[k - a])
+                else:
+                    for c in range(begin[k], begin[k + 1], ADDED):
+                        sums[k - a] += np.add.reduce(self.cells[row[c : min(c + ADDED, begin[k + 1])]], axis=0, dtype=np.uint16)
+            own = slice(*np.searchsorted(user_, [live[a], live[b - 1] + 1]))
+            who = np.searchsorted(live[a:b], user_[own])
+            here = live[a:b][np.minimum(who, b - a - 1)] == user_[own]
+            sums[who[here], column[seen[own]][here]] = 0
+            top = sums.reshape(b - a, 32, -1).max(1)  # the n-th best maximum is no better than the n-th best sum
+            error = self.error * np.minimum(count, top.max(1) // self.least)
+            floor = np.partition(top, -n, axis=1)[:, -n] - 2 * error if top.shape[1] >= n else np.zeros(b - a)
+            floor = np.ceil(np.maximum(np.maximum(floor, least[live[a:b]] * UNIT - error) - 1, 1))
+            floor = np.minimum(floor, np.iinfo(sums.dtype).max).astype(sums.dtype)
+            who, col = np.divmod(np.flatnonzero(sums >= floor[:, None]), wide)
+            found.append((who + a, col))
+        if not found:
+            return
+        who, col = (np.concatenate(c) for c in zip(*found, strict=True))
+        begin = np.asarray(begin)
+        size = np.diff(begin)[who]
+        for a, b in _slices(size, most):
+            of = np.repeat(np.arange(b - a), size[a:b])
+            r = row[_flat(begin[who[a:b]], size[a:b])]
+            word, bit = np.repeat(col[a:b] * self.words, size[a:b]) + (r >> 6), (r & 63).astype(np.uint64)
+            bits = self.bits[word] >> bit
+            some = np.flatnonzero(bits & np.uint64(1))
+            word, bit = word[some], bit[some]
+            at = self.before[word] + np.bitwise_count(self.bits[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            yield live[who[a:b]], col[a:b], np.bincount(of[some], self.s[at], b - a)
+
+
+class Sparse:
+    """The same of items that have little in common: what is met is added one by one."""
+
+    def __init__(self, width: int, col: np.ndarray, y: np.ndarray, s: np.ndarray, values: int):
+        order = np.argsort(y, kind="stable")
+        self.x, self.s, self.width = col[order], s[order], width
+        self.size = np.bincount(y, minlength=values)
+        self.start = np.cumsum(self.size) - self.size
+        self.cells, self.last = np.zeros(width), np.empty(width, np.int64)
+
+    def scores(self, number, length, column, least, n, most):
+        first, width = np.cumsum(length) - length, self.width
+        met = np.add.reduceat(self.size[number], first)
+        live = np.flatnonzero(met)
+        for a, b in _slices(met[live] + width // 8, most):
+            who = live[a:b]
+            items = _flat(first[who], length[who])
+            of, m = np.repeat(np.arange(b - a), length[who]), (b - a) * width
+            if m > len(self.cells):
+                self.cells, self.last = np.zeros(m), np.empty(m, np.int64)
+            numbers, total = number[items], int(met[who].sum())
+            if total > 2 * most:  # one user with very many items
+                for c, d in _slices(self.size[numbers], most):
+                    at = _flat(self.start[numbers[c:d]], self.size[numbers[c:d]])
+                    self.cells[:m] += np.bincount(self.x[at], self.s[at], m)
+                key = np.flatnonzero(self.cells[:m])
+            else:
+                size = self.size[numbers]
+                at = _flat(self.start[numbers], size)
+                key = np.repeat(of * width, size) + self.x[at]
+                np.add.at(self.cells, key, self.s[at])
+                self.last[key] = np.arange(len(key))
+                key = key[self.last[key] == np.arange(len(key))]
+            score = self.cells[key]
+            self.cells[key] = 0
+            good = score >= least[who[key // width]] - 2e-6
+            key, score = key[good], score[good]
+            seen = (column[items] >= 0) & (column[items] < width)
+            good = ~np.isin(key, of[seen] * width + column[items][seen])
+            yield who[key[good] // width], key[good] % width, score[good]
+
+
+def _tables(first: int, width: int, col: np.ndarray, y: np.ndarray, s: np.ndarray, values: int, cells: int, share: float):
+    """(first column, table) of pairs sorted by column; one with too many cells is halved."""
+    if not len(s):
+        return
+    met = np.zeros(values, bool)
+    met[y] = True
+    rows = np.flatnonzero(met)
+    if len(s) < share * len(rows) * width:
+        yield first, Sparse(width, col, y, s, values)
+    elif len(rows) * width <= cells or width == 1:
+        yield first, Table(rows, width, col, y, s, values)
+    else:
+        half = width // 2
+        m = int(np.searchsorted(col, half))
+        yield from _tables(first, half, col[:m], y[:m], s[:m], values, cells, share)
+        yield from _tables(first + half, width - half, col[m:] - half, y[m:], s[m:], values, cells, share)
+
+
 def by_items(seen: DataFrame, n: int, min_support: int = 1) -> DataFrame:
     """(user, item, score, rank): the n best unseen items by the sum of their similarities to the user's, of edges ``stored`` by item.
 
-    A block holds the similarities of its own items, and then meets every user once; the best of each block are ranked again.
+    Blocks are ranges of items. A basket goes to the blocks that its own blocks share baskets with; there, similarities of some
+    items at a time meet the baskets, and the n best so far are kept. The best of each block are ranked again.
     """
     spark = seen.sparkSession
     ship(spark)
-    with cleaned(spark):
-        total, pairs = seen.groupBy("user").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum(F.col("n") * F.col("n"))).first()
-    blocks, most = max(LEAST, math.ceil((pairs or 0) / HELD)), SLICE
+    baskets = written(seen.select("user", "item", "degree").repartition("user").sortWithinPartitions("user", "item").mapInArrow(_packer(), "blob binary"), "baskets")
+    total, blocks, cuts = _ranges(baskets)
+    reach = _reach(baskets, cuts, blocks)
+    most, held, cells, share = SLICE, HELD, CELLS, SHARE
+
+    def send(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                users, size, items, degree = _unpack(blob.as_buffer())
+                if min_support > 1:
+                    enough = degree >= min_support
+                    size = np.add.reduceat(enough.astype(np.int64), np.cumsum(size) - size)
+                    users, size, items, degree = users[size > 0], size[size > 0], items[enough], degree[enough]
+                met = _met(size, np.searchsorted(cuts, items), blocks).astype(np.float32) @ reach.astype(np.float32) > 0
+                for k in np.flatnonzero(met.any(0)).tolist():
+                    rows = np.repeat(met[:, k], size)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(users[met[:, k]], size[met[:, k]], items[rows], degree[rows])], pa.binary())], names=["block", "blob"])
 
     def run(k, blobs):
-        lists = Lists(blobs(), lambda ids: _block(ids, blocks) == k)
-        values, mine = lists.values, _block(lists.values, blocks) == k
+        lists = Lists(blobs(), lambda ids: np.searchsorted(cuts, ids) == k)
+        values = lists.values
+        mine = np.searchsorted(cuts, values) == k
         own = np.flatnonzero(mine)  # the block's items, in order
-        column = np.cumsum(mine) - 1
-        held = [(column[x].astype(np.int32), y.astype(np.int32), np.maximum(s, 1e-15)) for x, y, s in _similar(lists, mine, total, min_support, most)]
-        del lists  # a similarity of 0 counts as met all the same
-        if not held:
+        if not len(own):
             return
-        x, y, s = (np.concatenate(c) for c in zip(*held, strict=True))
-        del held
-        order = np.argsort(y, kind="stable")
-        x, s = x[order], s[order]
-        size = np.append(np.bincount(y, minlength=len(values)), 0)  # at the end: an item like none of the block's
-        start = np.cumsum(size) - size
-        mine, column = np.append(mine, False), np.append(column, 0)
-        del y, order
-        width = -(-len(own) // 32) * 32
-        for users, length, ids, _ in map(_unpack, blobs()):
-            number = np.minimum(np.searchsorted(values, ids), len(values) - 1)
-            number[values[number] != ids] = len(values)
-            first = np.cumsum(length) - length
-            cost = np.add.reduceat(size[number], first) + width  # of a user: sums and cells
-            for a, b in _slices(cost, most):
-                of = np.repeat(np.arange(b - a), length[a:b])
-                items = number[first[a] : first[a] + len(of)]
-                if int(cost[a:b].sum()) > 2 * most:  # one user with very many items
-                    cells = np.zeros(width)
-                    for c, d in _slices(size[items], most):
-                        at = _flat(start[items[c:d]], size[items[c:d]])
-                        cells += np.bincount(x[at], weights=s[at], minlength=width)
-                else:
-                    at = _flat(start[items], size[items])
-                    cells = np.bincount(np.repeat(of * width, size[items]) + x[at], weights=s[at], minlength=(b - a) * width)
-                cells = cells.reshape(b - a, width)
-                touched = mine[items]
-                cells[of[touched], column[items[touched]]] = -1  # seen
-                groups = cells.reshape(b - a, 32, -1).max(1)  # the n-th best maximum is no better than the n-th best score
-                least = np.partition(groups, -n, axis=1)[:, -n] if groups.shape[1] > n else np.zeros(b - a)
-                user, item = np.divmod(np.flatnonzero(cells >= np.maximum(least - 2e-6, 1e-300)[:, None]), width)
-                score = np.rint(cells[user, item] * 1e6).astype(np.int64)
-                order, _place = _best(user, item, score, n)
-                yield users[a + user[order]], values[own[item[order]]], score[order] / 1e6
-
-    rows = _dealt(seen.where(F.col("degree") >= min_support).select("user", "item", "degree"), _sender(blocks, True), blocks)
+        column = np.where(mine, np.cumsum(mine) - 1, -1)
+        at = np.flatnonzero(mine[lists.ids])
+        cost = np.bincount(lists.ids[at], lists.size[np.searchsorted(lists.start, at, "right") - 1], len(values))[own].astype(np.int64)
+        cost = np.minimum(cost, len(values))
+        with tempfile.TemporaryFile() as spool, tempfile.TemporaryFile() as best:
+            chunks, users = [], 0  # baskets as numbers, without what is like none of the block's items
+            for who, length, ids, _ in map(_unpack, blobs()):
+                number = np.minimum(np.searchsorted(values, ids), len(values) - 1)
+                known = values[number] == ids
+                length = np.add.reduceat(known.astype(np.int64), np.cumsum(length) - length)
+                who, length = who[length > 0], length[length > 0]
+                if len(who):
+                    chunks.append((spool.tell(), users, who, length))
+                    spool.write(number[known].astype(np.int32).tobytes())
+                    users += len(who)
+            spool.flush()
+            best.truncate(max(1, users) * n * 16)
+            score, item = np.memmap(best, np.int64, "r+", 0, (users, n)), np.memmap(best, np.int64, "r+", users * n * 8, (users, n))
+            score[:] = -1
+            for a, b in _slices(cost, held):
+                mine = np.zeros(len(values), bool)
+                mine[own[a:b]] = True
+                room, m = int(cost[a:b].sum()), 0
+                col, y, s = np.empty(room, np.int32), np.empty(room, np.int32), np.empty(room)
+                for x_, y_, s_ in _similar(lists, mine, total, min_support, most):
+                    col[m : m + len(x_)], y[m : m + len(x_)], s[m : m + len(x_)] = column[x_] - a, y_, np.maximum(s_, 1e-15)  # a similarity of 0 counts as met all the same
+                    m += len(x_)
+                for c, table in _tables(a, b - a, col[:m], y[:m], s[:m], len(values), cells, share):
+                    for place, start, who, length in chunks:
+                        spool.seek(place)
+                        number = np.frombuffer(spool.read(4 * int(length.sum())), np.int32)
+                        old = score[start : start + len(who)]
+                        news = [(u, own[x + c], np.rint(v * 1e6).astype(np.int64)) for u, x, v in table.scores(number, length, column[number] - c, old[:, -1] / 1e6, n, most)]
+                        if not news:
+                            continue
+                        u, i, v = (np.concatenate(x) for x in zip(*news, strict=True))
+                        row, place_ = np.nonzero(old >= 0)
+                        u, i, v = np.concatenate([u, row]), np.concatenate([values[i], item[start + row, place_]]), np.concatenate([v, old[row, place_]])
+                        order = np.lexsort((i, -v, u))
+                        u, i, v = u[order], i[order], v[order]
+                        begin = _bounds(u)
+                        rank = np.arange(len(u)) - np.repeat(begin[:-1], np.diff(begin))
+                        keep = rank < n
+                        score[start + u[keep], rank[keep]], item[start + u[keep], rank[keep]] = v[keep], i[keep]
+            for _, start, who, _ in chunks:
+                row, place = np.nonzero(score[start : start + len(who)] >= 0)
+                yield who[row], np.asarray(item[start + row, place]), score[start + row, place] / 1e6
+
+    rows = baskets.mapInArrow(send, "block int, blob binary").repartitionById(blocks, "block")
     found = rows.mapInArrow(_task(run, "user", "item", "score"), "user bigint, item bigint, score double")
     order = Window.partitionBy("user").orderBy(F.desc("score"), "item")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duplexa.operators import blocks, recommend
@@ -106,3 +107,63 @@ def test_pairs_are_not_shuffled(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "user bigint, item bigint")
     assert recommend.user_based(none).count() == recommend.item_based(none).count() == recommend.user_neighbours(none).count() == 0
+
+
+def copies(baskets, n, users, items):
+    """Graphs that share nothing, with shifted keys."""
+    return {u + k * users: {i + k * items for i in basket} for u, basket in baskets.items() for k in range(n)}
+
+
+def recommended(baskets, least=1):
+    similar, want = similarities(baskets, least), {}
+    for u, items in baskets.items():
+        scores = defaultdict(float)
+        for i in items:
+            for j, s in similar[i].items():
+                if j not in items:
+                    scores[j] += s
+        want |= {(u, k): v for k, v in enumerate(top(scores, 10), 1)}
+    return want
+
+
+@pytest.mark.parametrize("share, cells", [(0, 1 << 20), (0, 700), (2, 1 << 20)])
+def test_items_by_tables_and_one_by_one(spark, monkeypatch, share, cells):
+    """Tables, halved tables, and no tables; more pairs than different arguments; users with more rows than are added at a time."""
+    monkeypatch.setattr(blocks, "SHARE", share)
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    r = np.random.default_rng(5)
+    one = {u: {int(i) for i in r.integers(0, 300, 15)} for u in range(100)} | {100: set(range(200)), 101: set(range(50, 300)), 102: {7}}
+    baskets = copies(one, 3, 1000, 2000)
+    for slice_, held in ((1 << 18, 6_000_000), (3000, 9000)):
+        monkeypatch.setattr(blocks, "SLICE", slice_)
+        monkeypatch.setattr(blocks, "HELD", held)
+        got = recommend.item_based(edges(spark, baskets), 10, 1).where("item is not null").collect()
+        assert {(x["user"], x["rank"]): (x["item"], x["score"]) for x in got} == recommended({**baskets, 3: baskets[3]})
+
+
+def test_similarities_with_few_arguments():
+    """More pairs than different arguments: each is computed once, and goes to all its pairs."""
+    r = np.random.default_rng(2)
+    both, one, two = r.integers(1, 3, 5000), r.integers(3, 9, 5000), r.integers(3, 9, 5000)
+    got = blocks._similarity(both, one, two, 100)
+    assert got.tolist() == pytest.approx([similarity(int(a), int(b), int(c), 100) for a, b, c in zip(both, one, two, strict=True)], abs=1e-12)
+
+
+def test_baskets_go_where_they_matter(spark, monkeypatch):
+    """Twelve graphs that share nothing: a basket goes to few blocks, not to all, so the work grows with the edges."""
+
+    def counted(run, *names):
+        def go(batches):
+            for batch in batches:
+                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(blocks._unpack(blob.as_buffer())[0])]), pa.array([0.0])], names=list(names))
+
+        return go
+
+    r = np.random.default_rng(4)
+    one = {u: {int(i) for i in r.integers(0, 60, 8)} for u in range(50)}
+    baskets = copies(one, 12, 1000, 1000)
+    rows = spark.createDataFrame([(u, i) for u, items in baskets.items() for i in items], "user bigint, item bigint")
+    monkeypatch.setattr(blocks, "_task", counted)
+    sent = sum(x["item"] for x in recommend.item_based(rows, 1000, 1).collect())
+    assert len(baskets) <= sent <= 4 * len(baskets)
