@@ -406,10 +406,15 @@ def _reach(baskets: DataFrame, cuts: np.ndarray, blocks: int) -> np.ndarray:
                 reach |= met.T @ met > 0
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(reach).tobytes()], pa.binary())], names=["reach"])
 
-    reach = np.eye(blocks, dtype=bool)
-    for row in baskets.mapInArrow(shared, "reach binary").toLocalIterator():
-        reach |= np.unpackbits(np.frombuffer(row["reach"], np.uint8), count=blocks * blocks).reshape(blocks, blocks) > 0
-    return reach
+    def joined(batches):
+        reach = np.packbits(np.eye(blocks, dtype=bool))
+        for batch in batches:
+            for some in batch.column(0):
+                reach |= np.frombuffer(some.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([reach.tobytes()], pa.binary())], names=["reach"])
+
+    reach = baskets.mapInArrow(shared, "reach binary").repartition(1).mapInArrow(joined, "reach binary").first()["reach"]
+    return np.unpackbits(np.frombuffer(reach, np.uint8), count=blocks * blocks).reshape(blocks, blocks) > 0
 
 
 class Table:
@@ -470,8 +475,9 @@ class Table:
             floor = np.partition(top, -n, axis=1)[:, -n] - 2 * error if top.shape[1] >= n else np.zeros(b - a)
             floor = np.ceil(np.maximum(np.maximum(floor, least[live[a:b]] * UNIT - error) - 1, 1))
             floor = np.minimum(floor, np.iinfo(sums.dtype).max).astype(sums.dtype)
-            who, col = np.divmod(np.flatnonzero(sums >= floor[:, None]), wide)
-            found.append((who + a, col))
+            who, group = np.nonzero(top >= floor[:, None])
+            at, k = np.nonzero(sums.reshape(b - a, 32, -1)[who, :, group] >= floor[who, None])
+            found.append((who[at] + a, k * (wide // 32) + group[at]))
         if not found:
             return
         who, col = (np.concatenate(c) for c in zip(*found, strict=True))
