@@ -631,6 +631,8 @@ def by_items(seen: DataFrame, n: int, min_support: int = 1) -> DataFrame:
                         rank = np.arange(len(u)) - np.repeat(begin[:-1], np.diff(begin))
                         keep = rank < n
                         score[start + u[keep], rank[keep]], item[start + u[keep], rank[keep]] = v[keep], i[keep]
+                    del table  # before the next is made
+                del col, y, s
             for _, start, who, _ in chunks:
                 row, place = np.nonzero(score[start : start + len(who)] >= 0)
                 yield who[row], np.asarray(item[start + row, place]), score[start + row, place] / 1e6
